@@ -42,3 +42,27 @@ def fold(doc_id: Column, n: int) -> Column:
 def md5_bits(key: Column, hex_digits: int) -> Column:
     """The leading ``4 * hex_digits`` bits of md5(key) as a long (at most 60)."""
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, hex_digits), 16, 10).cast("long")
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(id, component): the smallest id reachable over ``links``, for each id in a link.
+
+    Alternating large and small stars: every round rewires each node's larger,
+    then smaller, neighbours to the smallest one, until only stars are left.
+    Minima are partly taken before the shuffle and each node's minimum is one row,
+    so the join with a hot node's neighbours can be split.
+    """
+    ends = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    ends, last = checkpoint(ends), None
+    while True:
+        seen = ends.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if seen == last or not seen[0]:
+            break
+        last = seen
+        both = ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        ends = checkpoint(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+    return ends.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(ends.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

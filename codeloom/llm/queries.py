@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, linededup, mixing, sharding
+from . import chat, linededup, minhash, mixing, sharding
 
 QUERIES = {
     "op4_mixing": mixing.op4_mixing,
+    "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
     "op7_line_dedup": linededup.op7_line_dedup,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_sharding": sharding.op10_sharding,
