@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, linededup, minhash, mixing, sharding
+from . import chat, embdedup, linededup, minhash, mixing, sharding
 
 QUERIES = {
     "op4_mixing": mixing.op4_mixing,
+    "op5_embedding_near_dedup": embdedup.op5_embedding_near_dedup,
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
     "op7_line_dedup": linededup.op7_line_dedup,
     "op9_chat_formatting": chat.op9_chat_formatting,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 ORACLES = {
     "op4_mixing": mixing.ORACLE,
+    "op5_embedding_near_dedup": embdedup.ORACLE,
     "op7_line_dedup": linededup.ORACLE,
     "op9_chat_formatting": chat.ORACLE,
     "op10_sharding": sharding.ORACLE,
