@@ -44,6 +44,13 @@ def md5_bits(key: Column, hex_digits: int) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, hex_digits), 16, 10).cast("long")
 
 
+def labelled(labels: DataFrame, label: str, key: str = "doc_id", folds: int = 5, most: int = 12_000) -> DataFrame:
+    """(id, y): at most ``most`` labelled rows outside fold 0, the same ones in every run; repeats of an id count once."""
+    rows = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (fold(F.col(key), folds) != 0))
+    rows = rows.groupBy(F.col(key).cast("long").alias("id")).agg(F.max(label).cast("int").alias("y"))
+    return rows.orderBy(F.xxhash64("id"), "id").limit(most)
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest id reachable over ``links``, for each id in a link.
 

@@ -56,11 +56,15 @@ class Tokenizer:
         after[offs[1:][offs[1:] > 0] - 1] = True
         word = ~space
         start, end = np.flatnonzero(word & before), np.flatnonzero(word & after) + 1
-        sums = np.zeros(n + 1, np.uint64)
+        self.sums = sums = np.zeros(n + 1, np.uint64)
         np.cumsum(self.value[data] * self.up[:n], out=sums[1:])
         h = mix((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
         return np.diff(np.searchsorted(start, offs)), h, start, end
 
+    def spell(self, start: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the n bytes from each start in the text that words() saw last; equal to a word's hash of these bytes."""
+        return mix((self.sums[start + n] - self.sums[start]) * self.down[start] + np.uint64(n * 0xC2B2AE3D27D4EB4F & MASK))
+
 
 def pieces(texts: pa.Array, most: int = 1 << 20):
     """(first row, bytes, offsets) of runs of rows of about ``most`` bytes; null texts are empty."""

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, embdedup, linededup, minhash, mixing, sharding
+from . import chat, decontam, embdedup, linededup, minhash, mixing, sharding, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_decontamination": decontam.op2_decontamination,
     "op4_mixing": mixing.op4_mixing,
     "op5_embedding_near_dedup": embdedup.op5_embedding_near_dedup,
