@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, embdedup, linededup, minhash, mixing, sharding, toxicity
+from . import chat, decontam, embdedup, linededup, minhash, mixing, quality, sharding, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_embedding_near_dedup": embdedup.op5_embedding_near_dedup,
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
     "op7_line_dedup": linededup.op7_line_dedup,
+    "op8_quality": quality.op8_quality,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_sharding": sharding.op10_sharding,
 }
