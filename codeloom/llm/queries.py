@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, embdedup, linededup, minhash, mixing, quality, sharding, toxicity
+from . import chat, decontam, embdedup, linededup, lm, minhash, mixing, quality, sharding, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_decontamination": decontam.op2_decontamination,
+    "op3_lm_scoring": lm.op3_lm_scoring,
     "op4_mixing": mixing.op4_mixing,
     "op5_embedding_near_dedup": embdedup.op5_embedding_near_dedup,
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
