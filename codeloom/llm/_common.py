@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,3 +74,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         ends = checkpoint(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
     return ends.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(ends.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet into the shared folder of ``spark.checkpoint.dir`` and read again."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="stages-")
+    path = f"{folder}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -10,12 +10,16 @@
    in one order for all: so only each class's prefix of its 27 rarest pairs is
    posted, and long lists are skipped.  Rarity is read from a histogram of fixed
    size over all signatures.
-3. Each list links its members to its smallest one: one candidate for a posting,
-   however long the list.  Collisions are counted on the signatures, and the pairs
-   that pass are confirmed on the full sets.  Links make components.
+3. Each list links its members to two of them, its most central one (whose own
+   lists are the longest: of many edited copies of a text, the text itself) and one
+   drawn by hash: two candidates for a posting, however long the list.  Collisions
+   are counted on the signatures, and a document's ``TRIES`` best pairs that pass are
+   confirmed on the full sets.  Links make components; lists that still hold several
+   components draw other members, for ``ROUNDS`` rounds more.
 4. Lists that still hold several components are merged: members of different
-   components and similar size are compared on signatures inside blocks, and what
-   passes is confirmed.  Long lists are dealt as pairs of blocks over many tasks.
+   components and similar size are compared inside blocks, on wider signatures
+   (``WIDE`` coordinates, of which links miss at most 4.4 standard deviations), and
+   what passes is confirmed.  Long lists are dealt as pairs of blocks over many tasks.
 
 No pair within a component is ever made beyond those with a list's first member.
 
@@ -29,7 +33,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import checkpoint, components, table
@@ -38,6 +42,9 @@ from ._tokens import Tokenizer, mix, pieces, shingles
 COORDS, MATCHES = 64, 38
 PREFIX = COORDS - MATCHES + 1
 CELLS = 1 << 16
+#: One byte for each of WIDE further coordinates; links agree in 410 of 512 on average.
+WIDE, WIDE_MATCHES = 512, 370
+TRIES, ROUNDS = 3, 2
 #: Members of a block when a long list is merged, and salts of a hot class's pairs.
 BLOCK, SALTS = 512, 64
 #: Above so many rows the ids whose sets are needed are joined by shuffle.
@@ -56,9 +63,9 @@ def _sets(texts, tokenizer, k):
             yield at + i, np.unique(s[to - n : to])
 
 
-def _coefficients():
-    r = np.random.default_rng(20240229)
-    return r.integers(0, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 1 << 63, COORDS, dtype=np.uint64)
+def _coefficients(n=COORDS, seed=20240229):
+    r = np.random.default_rng(seed)
+    return r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 1 << 63, n, dtype=np.uint64)
 
 
 def _sign(k):
@@ -97,11 +104,31 @@ def _sign(k):
     return run
 
 
-def _matrix(column) -> np.ndarray:
-    """The signatures of a column as rows of COORDS numbers."""
+def _wide(k):
+    """id and WIDE one-byte minima of each row that has shingles."""
+
+    def run(batches):
+        tokenizer, (mul, add) = Tokenizer(), _coefficients(WIDE, 7)
+        for batch in batches:
+            rows, out = [], []
+            for i, s in _sets(batch.column(1), tokenizer, k):
+                if len(s):
+                    low = np.empty(WIDE, np.uint64)
+                    for j in range(0, WIDE, 32):
+                        low[j : j + 32] = (s[:, None] * mul[j : j + 32] + add[j : j + 32]).min(0)
+                    rows.append(i)
+                    out.append((low >> np.uint64(56)).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(out, pa.binary())], names=["id", "wide"])
+
+    return run
+
+
+def _matrix(column, kind=np.uint32, n=COORDS) -> np.ndarray:
+    """The signatures of a column as rows of n numbers."""
+    if not len(column):
+        return np.zeros((0, n), kind)
     _, o, d = column.buffers()
-    first = np.frombuffer(o, np.int32)[column.offset] if len(column) else 0
-    return np.frombuffer(d, np.uint32, len(column) * COORDS, first).reshape(-1, COORDS) if len(column) else np.zeros((0, COORDS), np.uint32)
+    return np.frombuffer(d, kind, len(column) * n, np.frombuffer(o, np.int32)[column.offset]).reshape(-1, n)
 
 
 def _keys(m: np.ndarray) -> np.ndarray:
@@ -130,11 +157,24 @@ def _post(rarity):
     return run
 
 
-def _agree(batches):
-    """Keeps the pairs whose signatures agree in MATCHES coordinates."""
-    for batch in batches:
-        same = (_matrix(batch.column(2)) == _matrix(batch.column(3))).sum(1)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same.astype(np.int32))], names=["a", "b", "same"]).filter(pa.array(same >= MATCHES))
+def _agree(kind, n, matches):
+    """Keeps the pairs whose signatures agree in so many coordinates."""
+
+    def run(batches):
+        for batch in batches:
+            same = np.count_nonzero(_matrix(batch.column(2), kind, n) == _matrix(batch.column(3), kind, n), axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same.astype(np.int32))], names=["a", "b", "same"]).filter(pa.array(same >= matches))
+
+    return run
+
+
+def _best(heads: DataFrame, signs: DataFrame, kind, n: int, matches: int) -> DataFrame:
+    """Of each b's pairs (at most two a posting) the TRIES that agree most."""
+    own = signs.toDF("s", "x")
+    both = heads.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    agree = both.mapInArrow(_agree(kind, n, matches), "a long, b long, same int")
+    top = F.slice(F.sort_array(F.collect_list(F.struct("same", "a")), asc=False), 1, TRIES)
+    return agree.groupBy("b").agg(F.transform(top, lambda x: x["a"]).alias("a")).select(F.explode("a").alias("a"), "b")
 
 
 def _groups(batches):
@@ -158,7 +198,8 @@ def _merge(least):
     def run(batches):
         for t in _groups(batches):
             g, ids, comp, n, blk, two = (t.column(i).to_numpy() for i in range(6))
-            m = _matrix(t.column(6).combine_chunks() if isinstance(t.column(6), pa.ChunkedArray) else t.column(6))
+            m = t.column(6)
+            m = _matrix(m.combine_chunks() if isinstance(m, pa.ChunkedArray) else m, np.uint8, WIDE)
             edges = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
             a, b = [], []
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
@@ -171,7 +212,7 @@ def _merge(least):
                         ok &= blk[r] != blk[i]
                     at = np.flatnonzero(ok) + i + 1
                     if len(at):
-                        at = at[(m[at] == m[i]).sum(1) >= MATCHES]
+                        at = at[np.count_nonzero(m[at] == m[i], axis=1) >= WIDE_MATCHES]
                         a.extend(np.minimum(ids[at], ids[i]).tolist())
                         b.extend(np.maximum(ids[at], ids[i]).tolist())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -227,17 +268,27 @@ def _confirm(least):
     return run
 
 
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of these ids, which are counted: beyond BROADCAST_ROWS they meet by shuffle."""
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    return docs.join(ids, "id", "left_semi").select("id", "text")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, least: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity; a hub's set travels once for up to SALTS groups of its pairs."""
     pairs = checkpoint(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt")))
     ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    sets = docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_set_rows(k), "id long, words binary")
+    sets = _only(docs, ids).mapInArrow(_set_rows(k), "id long, words binary")
     want = pairs.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("id")).distinct().unionByName(pairs.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("id")))
     rows = want.join(sets, "id").select("a", "salt", "role", "id", "words").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
     return rows.mapInArrow(_confirm(least), "a long, b long").distinct()
 
 
+def _drawn(turn: int):
+    """A member of the list drawn by hash."""
+    return F.max_by("id", F.xxhash64("key", "id", F.lit(turn)))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, least: int = 80) -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row: links are pairs with 100 * |A & B| >= least * |A | B|."""
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
@@ -250,27 +301,35 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         rarity[cell] = n
     rarity = docs.sparkSession.sparkContext.broadcast(rarity)
     posted = classes.select("id", "signature").mapInArrow(_post(rarity), "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
-    lists = posted.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    lists = posted.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     postings = checkpoint(posted.join(lists, "key"))  # what is alone in its list is gone
-
-    signs = classes.select("id", "signature")
-    heads = postings.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    both = heads.join(signs.toDF("a", "x"), "a").join(signs.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    agree = both.mapInArrow(_agree, "a long, b long, same int")
-    best = agree.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a"))
+    central = postings.groupBy("id").agg(F.round(F.sum(F.log("m")), 6).alias("central"))
+    ranked = postings.join(central, "id")
+    first = F.max(F.struct(F.col("central").alias("c"), (-F.col("id")).alias("i")))["i"]
+    hubs = ranked.groupBy("key").agg((-first).alias("x"), _drawn(0).alias("y")).select("key", F.explode(F.array("x", "y")).alias("hub"))
+    heads = postings.join(hubs, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    best = _best(heads, classes.select("id", "signature"), np.uint32, COORDS, MATCHES)
     links = checkpoint(confirm(best, docs, k, least))
 
-    comp = components(links)
-    open_ = postings.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    open_ = checkpoint(open_)
-    mixed = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = open_.join(mixed, "key").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    wide = None
+    for turn in range(1, ROUNDS + 2):
+        comp = components(links)
+        open_ = postings.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+        mixed = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+        open_ = checkpoint(open_.join(mixed, "key"))
+        if wide is None:
+            wide = checkpoint(_only(docs, checkpoint(open_.select("id").distinct())).mapInArrow(_wide(k), "id long, wide binary"))
+        if turn > ROUNDS:
+            break
+        hubs = open_.groupBy("key").agg(F.max_by(F.struct("id", "comp"), F.xxhash64("key", "id", F.lit(turn))).alias("h"))
+        heads = open_.join(hubs, "key").where("comp <> h.comp").select(F.col("h.id").alias("a"), F.col("id").alias("b")).distinct()
+        links = checkpoint(links.unionByName(confirm(_best(heads, wide, np.uint8, WIDE, WIDE_MATCHES), docs, k, least)))
+
+    open_ = open_.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.xxhash64("key", F.least("blk", "other"), F.greatest("blk", "other"))
-    rows = rows.where("blocks = 1 or blk <> other").select(group.alias("g"), "id", "comp", "blk", (F.col("blocks") > 1).cast("int").alias("two"))
-    inner = open_.join(mixed.where("blocks > 1"), "key").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.unionByName(inner.select(F.xxhash64("key", "blk", "blk").alias("g"), "id", "comp", "blk", F.lit(0).alias("two")))
-    rows = rows.join(classes, "id").select("g", "id", "comp", "n", "blk", "two", "signature")
+    rows = rows.select(group.alias("g"), "id", "comp", "blk", (F.col("other") != F.col("blk")).cast("int").alias("two"))
+    rows = rows.join(classes.select("id", "n"), "id").join(wide, "id").select("g", "id", "comp", "n", "blk", "two", "wide")
     more = rows.repartition("g").sortWithinPartitions("g").mapInArrow(_merge(least), "a long, b long").distinct()
     links = links.unionByName(confirm(more, docs, k, least))
     node = checkpoint(components(links))
@@ -287,3 +346,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, least: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns: one of each group, the one with the smallest id; of rows that repeat an id, one."""
+    found = checkpoint(near_duplicates(docs, key, text, k, least).select(key, "kept").where(F.col(key).isNotNull()))
+    gone = found.where(~F.col("kept")).select(key).distinct()
+    again = found.where("kept").groupBy(key).count().where("count > 1").select(key)
+    gone = checkpoint(gone.withColumn("_again", F.lit(False)).unionByName(again.withColumn("_again", F.lit(True))))
+    small = gone.count() <= BROADCAST_ROWS
+    left = docs.join(F.broadcast(gone) if small else gone, key, "left_anti")
+    twice = gone.where("_again").select(key)
+    if twice.isEmpty():
+        return left
+    order = Window.partitionBy(key).orderBy(*(c for c in docs.columns if c != key))
+    one = docs.join(twice, key, "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*docs.columns)
+    return left.unionByName(one)

@@ -25,3 +25,5 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return "/root/testdata/sf0.001"
+import os, sys
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))

@@ -64,6 +64,12 @@ def test_chains_blocks_and_clusters(spark, monkeypatch):
         rows.append((200 + i, " ".join([f"p{j}" for j in range(50)] + [f"q{i}_{j}" for j in range(4 + i % 12)])))
     for i in range(30):
         rows.append((300 + i, "exactly the same words here"))
+    for i in range(60):  # edited copies of a text that comes last: most are near it, few are near each other
+        v = [f"h{j}" for j in range(120)]
+        for j in range(1 + i % 4):
+            v[(i * 13 + j * 29) % 120] = f"e{i}_{j}"
+        rows.append((500 + i, " ".join(v)))
+    rows.append((599, " ".join(f"h{j}" for j in range(120))))
     rows += [(401, None), (402, ""), (403, " \n\t"), (404, "two words"), (405, "TWO  words"), (406, "a " * 3000), (407, "a " * 9000)]
     got = result(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
     assert got == brute(rows)
