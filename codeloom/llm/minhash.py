@@ -45,9 +45,9 @@ CELLS = 1 << 16
 #: One byte for each of WIDE further coordinates; links agree in 410 of 512 on average.
 WIDE, WIDE_MATCHES = 512, 370
 TRIES, ROUNDS = 3, 2
-#: Members of a block when a long list is merged, and salts of a hot class's pairs.
-BLOCK, SALTS = 512, 64
-#: Above so many rows the ids whose sets are needed are joined by shuffle.
+#: Members of a block when a long list is merged, and pairs that share one copy of their hub's set.
+BLOCK, TOGETHER = 512, 64
+#: Above so many rows the ids whose sets are needed, and the places they go to, are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
 _SIGNED = "id long, n_shingles long, digest binary, signature binary"
@@ -220,40 +220,33 @@ def _merge(least):
     return run
 
 
-def _set_rows(k):
-    def run(batches):
-        tokenizer = Tokenizer()
-        for batch in batches:
-            ids = batch.column(0)
-            out, rows, size = [], [], 0
-            for i, s in _sets(batch.column(1), tokenizer, k):
-                out.append(s.tobytes())
-                rows.append(i)
-                size += 8 * len(s)
-                if size > 1 << 23:
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(out, pa.binary())], names=["id", "words"])
-                    out, rows, size = [], [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(out, pa.binary())], names=["id", "words"])
-
-    return run
+def _word_rows(batches):
+    """id, number of words, and the words of each row as compressed 32-bit hashes."""
+    tokenizer, codec = Tokenizer(), pa.Codec("zstd")
+    for batch in batches:
+        for at, data, offs in pieces(batch.column(1)):
+            counts, h, _, _ = tokenizer.words(data, offs)
+            short, ends = (h >> np.uint64(32)).astype(np.uint32), np.cumsum(counts)
+            packed = [codec.compress(short[to - n : to].tobytes(), asbytes=True) for n, to in zip(counts.tolist(), ends.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(counts)), pa.array(counts, pa.int32()), pa.array(packed, pa.binary())], names=["id", "n", "words"])
 
 
-def _confirm(least):
+def _confirm(k, least):
     """Sorted by (hub, salt, hub's rows first): keeps members whose sets are as similar as asked."""
 
     def run(batches):
-        now, hubs = None, []
+        now, hubs, codec = None, [], pa.Codec("zstd")
         for batch in batches:
-            hub, salt, role, ids = (batch.column(i).to_numpy() for i in range(4))
-            sets = batch.column(4)
+            hub, salt, role, ids, n = (batch.column(i).to_numpy() for i in range(5))
+            packed = batch.column(5)
             a, b = [], []
             for i in range(len(ids)):
-                s = np.frombuffer(sets[i].as_buffer(), np.uint64)
+                h = np.frombuffer(codec.decompress(packed[i].as_buffer(), 4 * int(n[i])), np.uint32)
+                s = np.unique(shingles(n[i : i + 1].astype(np.int64), mix(h.astype(np.uint64) + np.uint64(1)), k)[1])
                 if (hub[i], salt[i]) != now:
                     now, hubs = (hub[i], salt[i]), []
                 if role[i] == 0:
-                    hubs.append(s.copy())
+                    hubs.append(s)
                     continue
                 for x in hubs:
                     if 100 * min(len(x), len(s)) < least * max(len(x), len(s)):
@@ -275,13 +268,20 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, least: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity; a hub's set travels once for up to SALTS groups of its pairs."""
-    pairs = checkpoint(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt")))
+    """The pairs (a, b) whose full sets reach the similarity.
+
+    Sets travel as their texts' words, 32 bits each and compressed, a hub's once for
+    about ``TOGETHER`` of its pairs; a hot hub's pairs are dealt over as many groups.
+    """
+    pairs = checkpoint(pairs.select("a", "b"))
+    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("groups"))
+    pairs = checkpoint(pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt")))
     ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = _only(docs, ids).mapInArrow(_set_rows(k), "id long, words binary")
+    sets = _only(docs, ids).mapInArrow(_word_rows, "id long, n int, words binary")
     want = pairs.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("id")).distinct().unionByName(pairs.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("id")))
-    rows = want.join(sets, "id").select("a", "salt", "role", "id", "words").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
-    return rows.mapInArrow(_confirm(least), "a long, b long").distinct()
+    want = F.broadcast(want) if pairs.count() <= BROADCAST_ROWS // 2 else want
+    rows = sets.join(want, "id").select("a", "salt", "role", "id", "n", "words").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
+    return rows.mapInArrow(_confirm(k, least), "a long, b long").distinct()
 
 
 def _drawn(turn: int):
