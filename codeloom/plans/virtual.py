@@ -331,9 +331,9 @@ def explain_modules(spark, d):
 
 
 @query(_sql(V, TOK, SUM, """, mem AS (SELECT DISTINCT split_part(path, '/', 2) AS target, path FROM sm)
-SELECT target, 'src/' || target AS root, string_agg(sm.path, ',' ORDER BY sm.path) AS modules, sum(file_count)::BIGINT AS file_count, sum(loc)::BIGINT AS loc, sum(classes)::BIGINT AS classes, sum(functions)::BIGINT AS functions,
-  coalesce((SELECT string_agg(DISTINCT target_module, ',' ORDER BY target_module) FROM vi WHERE split_part(module, '/', 2) = target AND split_part(target_module, '/', 2) <> target), '') AS depends_on
-FROM mem JOIN sm USING (path) GROUP BY target"""))
+SELECT mem.target, 'src/' || mem.target AS root, string_agg(sm.path, ',' ORDER BY sm.path) AS modules, sum(file_count)::BIGINT AS file_count, sum(loc)::BIGINT AS loc, sum(classes)::BIGINT AS classes, sum(functions)::BIGINT AS functions,
+  coalesce((SELECT string_agg(DISTINCT target_module, ',' ORDER BY target_module) FROM vi WHERE split_part(vi.module, '/', 2) = mem.target AND split_part(vi.target_module, '/', 2) <> mem.target), '') AS depends_on
+FROM mem JOIN sm USING (path) GROUP BY mem.target"""))
 def feature_view(spark, d):
     """The feature of every layer's name."""
     summary, _, imports = _summary(Repo(spark, d))
