@@ -16,8 +16,8 @@
    are counted on the signatures, and a document's ``TRIES`` best pairs that pass are
    confirmed on the full sets.  Links make components; lists that still hold several
    components draw other members, for ``ROUNDS`` rounds more.
-4. Lists that still hold several components are merged: members of different
-   components and similar size are compared inside blocks, on wider signatures
+4. Lists that still hold several components are merged: members outside a list's
+   largest component are compared with all others of similar size inside blocks, on wider signatures
    (``WIDE`` coordinates, of which links miss at most 4.4 standard deviations), and
    what passes is confirmed.  Long lists are dealt as pairs of blocks over many tasks.
 
@@ -315,7 +315,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     for turn in range(1, ROUNDS + 2):
         comp = components(links)
         open_ = postings.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-        mixed = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+        per = open_.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key")
+        per = per.agg(F.max_by("comp", F.struct("n", "comp")).alias("most"), F.max("n").alias("d"), F.sum("n").alias("m")).where("d < m")
+        mixed = per.select("key", "most", F.ceil(F.col("d") / BLOCK).cast("int").alias("inner"), F.ceil((F.col("m") - F.col("d")) / BLOCK).cast("int").alias("outer"))
         open_ = checkpoint(open_.join(mixed, "key"))
         if wide is None:
             wide = checkpoint(_only(docs, checkpoint(open_.select("id").distinct())).mapInArrow(_wide(k), "id long, wide binary"))
@@ -325,8 +327,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         heads = open_.join(hubs, "key").where("comp <> h.comp").select(F.col("h.id").alias("a"), F.col("id").alias("b")).distinct()
         links = checkpoint(links.unionByName(confirm(_best(heads, wide, np.uint8, WIDE, WIDE_MATCHES), docs, k, least)))
 
-    open_ = open_.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Members of a list's largest component meet only the others; those meet everyone.
+    within = F.col("comp") == F.col("most")
+    blk = F.pmod(F.xxhash64("id"), F.when(within, F.col("inner")).otherwise(F.col("outer"))) + F.when(within, 0).otherwise(F.col("inner"))
+    open_ = open_.withColumn("blk", blk.cast("int"))
+    rows = open_.withColumn("other", F.explode(F.sequence(F.when(within, F.col("inner")).otherwise(0), F.col("inner") + F.col("outer") - 1)))
     group = F.xxhash64("key", F.least("blk", "other"), F.greatest("blk", "other"))
     rows = rows.select(group.alias("g"), "id", "comp", "blk", (F.col("other") != F.col("blk")).cast("int").alias("two"))
     rows = rows.join(classes.select("id", "n"), "id").join(wide, "id").select("g", "id", "comp", "n", "blk", "two", "wide")
