@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dims, schemas, sources
+from . import dims, sources
 from .functions import paths, text
 from .operators import changes, ecosystems, graph, inventory, modules
 from .plugins import Registry, default_registry
@@ -246,5 +246,4 @@ class Tools:
         return [x for x in self.notes() if x["scope"] and (scope == x["scope"] or scope.startswith(x["scope"] + "/"))]
 
 
-#: Eight questions with known answers about a repository of the shape that tests/test_repository.py writes.
-__all__ = ["Memory", "Tools", "schemas"]
+__all__ = ["Memory", "Tools"]
