@@ -2,10 +2,10 @@
 
 A text is its words (runs of anything but blanks, A-Z lower-cased) and one end
 token.  The outcomes are the V words of the training texts and one unknown word.  A
-token's context is the latest word before it in its text that is among the
-``CONTEXTS`` most frequent ones (or that there is none yet).  Every context has a
-Pitman-Yor restaurant, all of them share one parent restaurant of words, whose base
-is uniform over the V + 1 outcomes; a table in a context is a customer of the parent.
+token's context is the word before it in its text, or the text's start.  Every
+context has a Pitman-Yor restaurant, however rare the word; all of them share one
+parent restaurant of words, whose base is uniform over the V + 1 outcomes; a table in
+a context is a customer of the parent.  Words are known by their 64-bit hashes.
 
 Seating is sampled by Gibbs sweeps.  A sweep seats the customers of every dish anew
 in its context restaurants, given the parent's predictions and all others' tables,
@@ -13,14 +13,14 @@ and then the tables as customers in the parent.  Customers are seated one by one
 where they are few; where they are many, the next customer to open a table is drawn
 at once (the survival function is a ratio of gammas), or for strong parents the
 number of tables by its normal limit.  All draws are hashes of word, context, sweep
-and step, so a lost task draws the same again, and a word's seating is replayed
-instead of stored.  After ``BURN`` sweeps, each of ``SAMPLES`` sweeps gives a
-predictive probability; a token's probability is their mean, and perplexity follows.
+and step, so a lost task draws the same again.  A pair seen once has one table in
+every sweep, so only pairs seen more often are seated.  After ``BURN`` sweeps, each of
+``SAMPLES`` sweeps gives a predictive probability; a token's probability is their
+mean, and perplexity follows.  Whether the seating has settled is not checked.
 
-What moves: word and context counts, partly summed; the words outside the
-``FREQUENT`` most frequent ones, once, to meet their row of the model; sums by
-document.  Broadcast are the context words, the totals of the restaurants and the
-rows of the frequent words, all of a fixed size.
+What moves: all pairs of words with counts, partly summed, then to meet their
+context's and their word's totals; the pairs of each document, to meet their
+probability; sums by document.  No side is hinted to be broadcast.
 
 Defined results: a null or empty text is the end token alone; a null doc_id is a
 training document; each row is scored by itself and repeats count as often as they
@@ -39,9 +39,9 @@ from ._common import checkpoint, fold, table
 from ._tokens import Tokenizer, mix, pieces
 
 FOLDS = 10
-CONTEXTS = 255
+CONTEXTS = 255  # of the dense form alone
 BURN, SAMPLES = 1, 2
-FREQUENT = 32_000
+FREQUENT = 32_000  # not read any more
 STRENGTH = 10.0
 ADD = 0.1
 _PIECE = 2 << 20
@@ -58,21 +58,6 @@ def _strings(tokenizer, data, start, end) -> pa.StringArray:
     return pa.StringArray.from_buffers(len(n), pa.py_buffer(off.astype(np.int32)), pa.py_buffer(tokenizer.fold[data[at]]))
 
 
-def _count(batches):
-    """(w, n): the words of each batch, the end token as the empty word."""
-    tokenizer = Tokenizer()
-    for batch in batches:
-        words, n = [pa.array([""])], [pa.array([len(batch)], pa.int64())]
-        for _, data, offs in pieces(batch.column(0), _PIECE):
-            _, h, start, end = tokenizer.words(data, offs)
-            _, first, count = np.unique(h, return_index=True, return_counts=True)
-            words.append(_strings(tokenizer, data, start[first], end[first]))
-            n.append(pa.array(count.astype(np.int64)))
-        t = pa.table({"w": pa.chunked_array(words), "n": pa.chunked_array(n)})
-        t = t.group_by("w", use_threads=False).aggregate([("n", "sum")]).select(["w", "n_sum"]).rename_columns(["w", "n"])
-        yield from t.combine_chunks().to_batches()
-
-
 def word_hashes(words: list[str]) -> np.ndarray:
     """The tokenizer's hashes of these words, in order; the empty word is 0."""
     out, at = np.zeros(len(words), np.uint64), [i for i, w in enumerate(words) if w]
@@ -174,7 +159,7 @@ def seat(c: np.ndarray, a: np.ndarray, d: float, seed: np.ndarray, sweep: int) -
 
 
 class Model:
-    """Discounts and, after each sweep, the totals of all restaurants; a word's own seating is replayed."""
+    """The dense form for at most ``CONTEXTS`` contexts, which scoring does not use: discounts and, after each sweep, the totals of all restaurants; a word's own seating is replayed."""
 
     def __init__(self, tokens, types, d, d0, customers):
         self.tokens, self.types, self.d, self.d0, self.customers = tokens, types, d, d0, customers
@@ -274,120 +259,137 @@ def fit(cells: DataFrame, tokens: int, types: int) -> Model:
     return model
 
 
-def _predictions(shared):
-    def run(batches):
-        m = shared.value
-        for batch in batches:
-            words, offs, u, c = _cells(batch)
-            p0, lp = m.predict(words, offs, u, c)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * SAMPLES), pa.array(np.column_stack(p0).ravel()))
-            at = pa.array(offs.astype(np.int32))
+# ---- all contexts ---------------------------------------------------------
+
+
+def _runs(*columns):
+    """Order and first places of the runs of equal rows; rows whose keys collide only make more runs."""
+    key = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64) + np.uint64(1))
+    order = np.argsort(key)
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([c[order[1:]] != c[order[:-1]] for c in columns])
+    return order, np.flatnonzero(new)
+
+
+def _tokens(tokenizer, data, offs):
+    """(row, previous word, word) of every token; 0 is the start of a text as context and its end as word."""
+    counts, h, _, _ = tokenizer.words(data, offs)
+    w = np.insert(h, np.cumsum(counts), np.uint64(0))
+    return np.repeat(np.arange(len(counts)), counts + 1), np.concatenate((np.zeros(1, np.uint64), w[:-1])), w
+
+
+def _count_pairs(batches):
+    """(u, w, c): the pairs of each batch of (train, text), those of held-out texts with 0 customers."""
+    tokenizer = Tokenizer()
+    for batch in batches:
+        train = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for row, data, offs in pieces(batch.column(1), _PIECE):
+            doc, u, w = _tokens(tokenizer, data, offs)
+            order, first = _runs(u, w)
+            c = np.add.reduceat(train[row + doc[order]], first)
+            yield pa.RecordBatch.from_arrays([pa.array(u[order[first]].view(np.int64)), pa.array(w[order[first]].view(np.int64)), pa.array(c)], names=["u", "w", "c"])
+
+
+def _document_pairs(batches):
+    """(row, doc_id, u, w, n): the pairs of each row."""
+    tokenizer = Tokenizer()
+    for batch in batches:
+        for row, data, offs in pieces(batch.column(2), _PIECE):
+            doc, u, w = _tokens(tokenizer, data, offs)
+            order, first = _runs(doc, u, w)
+            n, at = np.diff(np.append(first, len(order))), order[first]
+            take = pa.array(row + doc[at])
             yield pa.RecordBatch.from_arrays(
-                [words, pa.array(np.add.reduceat(c, offs[:-1]) if len(words) else c), flat, pa.ListArray.from_arrays(at, pa.array(u.astype(np.int16))), pa.ListArray.from_arrays(at, pa.array(lp))],
-                names=["w", "c", "p0", "u", "lp"],
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(u[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(n)], names=["row", "doc_id", "u", "w", "n"]
             )
 
-    return run
 
+def _seat_cells(d, sweep):
+    """(u, w, c, t) of cells (u, w, c, a)."""
 
-# ---- scoring --------------------------------------------------------------
+    def run(batches):
+        for batch in batches:
+            u, w = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+            t = seat(batch.column(2).to_numpy(), batch.column(3).to_numpy(), d, mix(w + u * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)), sweep)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(t), *batch.columns[4:]], names=["u", "w", "c", "t", "seats"])
+
+    return run
 
 
-def _document_sums(shared):
-    """For each row one head with the sums over frequent words, and its other words by context with counts."""
+def _seat_words(a, d0, sweep):
+    """(w, c, single, n0, t0, seats) with t0 seated anew."""
 
     def run(batches):
-        tokenizer, (ctx, number, keys, base, lp) = Tokenizer(), shared.value
         for batch in batches:
-            for row, data, offs in pieces(batch.column(2), _PIECE):
-                counts, h, start, stop = tokenizer.words(data, offs)
-                rows = len(counts)
-                doc = np.repeat(np.arange(rows), counts)
-                before, at_end = _contexts(ctx, number, counts, h)
-                at, hit = _find(keys, h)
-                end, _ = _find(keys, np.zeros(1, np.uint64))
-                known = np.bincount(doc[hit], minlength=rows) + 1
-                own = np.bincount(doc[hit], base[at[hit]], rows) + base[end]
-                score = np.bincount(doc[hit], lp[at[hit], before[hit]], rows) + lp[end[0], at_end]
-                rest = np.flatnonzero(~hit)
-                order = rest[np.lexsort((before[rest], h[rest], doc[rest]))]
-                new = np.ones(len(order), bool)
-                new[1:] = (h[order[1:]] != h[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]]) | (before[order[1:]] != before[order[:-1]])
-                first = np.flatnonzero(new)
-                tail, n = order[first], np.diff(np.append(first, len(order)))
-                ids, docs = batch.column(0).slice(row, rows), batch.column(1).slice(row, rows)
-                take = pa.array(doc[tail])
-                heads = pa.array([f" {x}" for x in ids.to_pylist()], pa.string())  # no word holds a blank
-                more = lambda a, b: pa.array(np.concatenate((a, b)))
-                none, zero = np.zeros(len(tail)), np.zeros(len(tail), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.concat_arrays([ids, ids.take(take)]),
-                        pa.concat_arrays([docs, docs.take(take)]),
-                        pa.concat_arrays([heads, _strings(tokenizer, data, start[tail], stop[tail])]),
-                        more(np.zeros(rows, np.int16), before[tail].astype(np.int16)),
-                        more(np.zeros(rows, np.int64), n),
-                        more(counts + 1, zero),
-                        more(known, zero),
-                        more(own, none),
-                        more(score, none),
-                    ],
-                    names=["row", "doc_id", "w", "v", "n", "n_tokens", "known", "base", "score"],
-                )
+            n0 = batch.column(3).to_numpy()
+            t0 = seat(n0, np.full(len(n0), a), d0, batch.column(0).to_numpy().view(np.uint64), sweep)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(t0), batch.column(5)], names=["w", "c", "single", "n0", "t0", "seats"])
 
     return run
 
 
+def predictions(cells: DataFrame):
+    """(u, w, known, base, lp) of every cell (u, w, c), and the number of training tokens.
+
+    A cell with one customer has one table, so the sweeps move only those with more.
+    """
+    none = F.array().cast("array<double>")
+    tokens, n1, n2 = (x or 0 for x in cells.agg(F.sum("c"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first())
+    one, some = F.count_if(F.col("c") == 1).alias("single"), F.count_if(F.col("c") > 0)
+    contexts = checkpoint(cells.groupBy("u").agg(F.sum("c").alias("customers"), one, some.alias("tables")).withColumn("back", none))
+    words = checkpoint(cells.groupBy("w").agg(F.sum("c").alias("c"), one, some.alias("n0")).withColumn("t0", F.least("n0", F.lit(1).cast("long"))).withColumn("seats", none))
+    got = words.agg(F.sum("t0"), F.sum("n0"), F.count_if(F.col("n0") == 1), F.count_if(F.col("n0") == 2)).first()
+    types, all_n, m1, m2 = (x or 0 for x in got)
+    all_t = types
+    d, d0 = (float(np.clip(a / max(a + 2 * b, 1), 0.05, 0.95)) for a, b in ((n1, n2), (m1, m2)))
+    share = (F.lit(STRENGTH) + d * F.col("tables")) / (F.lit(STRENGTH) + F.col("customers"))
+    parent = lambda: (F.greatest(F.col("n0") - d0 * F.col("t0"), F.lit(0.0)) + (STRENGTH + d0 * all_t) / (types + 1)) / (STRENGTH + all_n)
+    many = cells.where("c > 1").withColumn("seats", none)
+    for s in range(1, BURN + SAMPLES + 1):
+        met = many.join(contexts.select("u", "tables"), "u").join(words.select("w", parent().alias("base")), "w")
+        met = met.select("u", "w", "c", ((STRENGTH + d * F.col("tables")) * F.col("base")).alias("a"), "seats")
+        many = met.mapInArrow(_seat_cells(d, s), "u long, w long, c long, t long, seats array<double>")
+        if s > BURN:
+            many = many.withColumn("seats", F.concat("seats", F.array(F.col("t").cast("double"))))
+        many = checkpoint(many)
+        contexts = contexts.join(many.groupBy("u").agg(F.sum("t").alias("t")), "u", "left")
+        contexts = contexts.select("u", "customers", "single", (F.col("single") + F.coalesce("t", F.lit(0))).alias("tables"), "back")
+        words = words.join(many.groupBy("w").agg(F.sum("t").alias("t")), "w", "left")
+        words = words.select("w", "c", "single", (F.col("single") + F.coalesce("t", F.lit(0))).alias("n0"), "t0", "seats")
+        words = checkpoint(words.mapInArrow(_seat_words((STRENGTH + d0 * all_t) / (types + 1), d0, s), "w long, c long, single long, n0 long, t0 long, seats array<double>"))
+        all_n, all_t = (x or 0 for x in words.agg(F.sum("n0"), F.sum("t0")).first())
+        if s > BURN:
+            contexts = contexts.withColumn("back", F.concat("back", F.array(share)))
+            words = words.withColumn("seats", F.concat("seats", F.array(parent())))
+        contexts = checkpoint(contexts)
+
+    c = F.col("c").cast("double")
+    few = cells.where("c < 2").select("u", "w", "c", F.array(*[c] * SAMPLES).alias("seats"))
+    own = few.unionByName(many.select("u", "w", "c", "seats"))
+    own = own.select("u", "w", F.array(*(F.greatest(c - d * F.col("seats")[i], F.lit(0.0)) for i in range(SAMPLES))).alias("own"))
+    own = own.join(contexts.select("u", "customers", "back"), "u")
+    base = F.log10((F.col("c") + ADD) / F.lit(float(tokens + ADD * (types + 1))))
+    own = own.join(words.select("w", (F.col("c") > 0).cast("long").alias("known"), base.alias("base"), F.col("seats").alias("p0")), "w")
+    p = sum(F.col("own")[i] / (F.lit(STRENGTH) + F.col("customers")) + F.col("back")[i] * F.col("p0")[i] for i in range(SAMPLES)) / SAMPLES
+    return own.select("u", "w", "known", "base", F.log10(p).alias("lp")), tokens
+
+
+# ---- scoring --------------------------------------------------------------
+
+
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = FOLDS) -> DataFrame:
     """For each row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    share = spark.sparkContext.broadcast
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     held = fold(F.col("doc_id"), folds) == 0
-    train = rows.where(~held).select("text")
-    counts = checkpoint(train.mapInArrow(_count, "w string, n long").groupBy("w").agg(F.sum("n").alias("c")))
-    tokens, types = counts.agg(F.sum("c"), F.count("*")).first()
-    if not tokens:
-        n = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long") + 1
-        none = rows.select("doc_id", held.alias("held_out"), n.alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"))
-        return none.withColumn("base_score", F.lit(0.0)).withColumn("score", F.lit(0.0))
-
-    top = [r.w for r in counts.where("w <> ''").orderBy(F.col("c").desc(), "w").limit(CONTEXTS).collect()]
-    h = word_hashes(top)
-    order = np.argsort(h)
-    ctx = (h[order], order + 1) if top else (np.zeros(1, np.uint64), np.zeros(1, np.int64))
-    cells = train.mapInArrow(_count_contexts(share(ctx)), "w string, u array<short>, n array<long>").groupBy("w")
-    cells = checkpoint(cells.agg(F.flatten(F.collect_list("u")).alias("u"), F.flatten(F.collect_list("n")).alias("n")))
-    model = fit(cells, tokens, types)
-    words = checkpoint(cells.mapInArrow(_predictions(share(model)), "w string, c long, p0 array<double>, u array<short>, lp array<double>"))
-
-    often = words.orderBy(F.col("w") != "", F.col("c").desc(), "w").limit(FREQUENT).toArrow().combine_chunks()  # FREQUENT rows at most
-    h = word_hashes(often["w"].to_pylist())
-    order = np.argsort(h)
-    back = [model.back(s) for s in model.chosen()]
-    p0 = np.array(often["p0"].to_pylist())
-    lp = np.log10(sum(np.outer(p0[:, i], b) for i, b in enumerate(back)) / SAMPLES).astype(np.float32)
-    lists = often["u"].combine_chunks() if isinstance(often["u"], pa.ChunkedArray) else often["u"]
-    values = often["lp"].combine_chunks() if isinstance(often["lp"], pa.ChunkedArray) else often["lp"]
-    lp[np.repeat(np.arange(len(h)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()] = values.flatten().to_numpy()
-    base = lambda c: np.log10((c + ADD) / (tokens + ADD * (types + 1)))
-    frequent = share((*ctx, h[order], base(often["c"].to_numpy())[order], lp[order]))
-    parts = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(
-        _document_sums(frequent), "row long, doc_id long, w string, v short, n long, n_tokens long, known long, base double, score double"
-    )
-    met = parts.join(words, "w", "left")
-    unknown = [model.parent(np.zeros(1), np.zeros(1), s)[0] for s in model.chosen()]
-    shares = [F.element_at(F.array(*map(F.lit, b.tolist())), F.col("v") + 1) for b in back]
-    new = sum(x * F.coalesce(F.col("p0")[i], F.lit(float(unknown[i]))) for i, x in enumerate(shares)) / SAMPLES
-    place = F.array_position("u", F.col("v"))
-    own = F.coalesce(F.when(place > 0, F.get("lp", (place - 1).cast("int"))), F.log10(new))
-    plain = F.log10((F.coalesce("c", F.lit(0)) + ADD) / F.lit(float(tokens + ADD * (types + 1))))
-    out = met.groupBy("row", "doc_id").agg(
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("known") + F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.when(F.col("n") > 0, F.col("n") * plain).otherwise(0.0)).alias("base_score"),
-        F.sum(F.col("score") + F.when(F.col("n") > 0, F.col("n") * own).otherwise(0.0)).alias("score"),
-    )
+    cells = rows.select((~held).alias("train"), "text").mapInArrow(_count_pairs, "u long, w long, c long")
+    found, tokens = predictions(checkpoint(cells.groupBy("u", "w").agg(F.sum("c").alias("c"))))
+    parts = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(_document_pairs, "row long, doc_id long, u long, w long, n long")
+    total = lambda c: F.sum(F.col("n") * F.col(c))
+    out = parts.join(found, ["u", "w"]).groupBy("row", "doc_id")
+    out = out.agg(F.sum("n").alias("n_tokens"), total("known").alias("n_known"), total("base").alias("base_score"), total("lp").alias("score"))
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -93,3 +93,28 @@ def test_odd_rows(spark):
     only = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0)
     r = lm.score_texts(spark.createDataFrame([(only, "a b", "", 0)], cols)).collect()[0]
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (True, 3, 0, 0)
+
+
+def test_every_previous_word_is_a_context(spark):
+    """Counts of all pairs, predictions that sum to one in each context, and pairs whose first word is rare."""
+    r = np.random.default_rng(8)
+    texts = [" ".join(f"w{int(x)}" for x in r.zipf(1.3, r.integers(0, 40)) % 400) for _ in range(300)]
+    want = Counter(p for t in texts for p in zip([""] + words(t), words(t) + [""]))
+    vocabulary = sorted({w for p in want for w in p})
+    assert len(vocabulary) > lm.CONTEXTS + 1
+    name = dict(zip(lm.word_hashes(vocabulary).view(np.int64).tolist(), vocabulary))
+    df = spark.createDataFrame([(True, t) for t in texts], "train boolean, text string")
+    cells = df.mapInArrow(lm._count_pairs, "u long, w long, c long").groupBy("u", "w").sum("c").withColumnRenamed("sum(c)", "c")
+    assert Counter({(name[x.u], name[x.w]): x.c for x in cells.collect()}) == want
+    every = spark.createDataFrame([(h,) for h in [*name, 12345]], "w long")
+    pairs = cells.select("u").distinct().crossJoin(every).join(cells, ["u", "w"], "left").fillna(0, ["c"])
+    total = Counter()
+    for x in lm.predictions(pairs)[0].collect():
+        total[x.u] += 10**x.lp
+    assert len(total) == len(vocabulary) and all(abs(x - 1) < 1e-9 for x in total.values())
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    rows = [(i, " ".join(f"a{j} b{j}" for j in r.permutation(500)[:40])) for i in range(600)]
+    got = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    tokens, score = (sum(getattr(x, c) for x in got if held(x.doc_id)) for c in ("n_tokens", "score"))
+    assert 10 ** (-score / tokens) < 60  # about 32 where b follows a, 1000 words in all
