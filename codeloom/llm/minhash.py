@@ -309,7 +309,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     hubs = ranked.groupBy("key").agg((-first).alias("x"), _drawn(0).alias("y")).select("key", F.explode(F.array("x", "y")).alias("hub"))
     heads = postings.join(hubs, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     best = _best(heads, classes.select("id", "signature"), np.uint32, COORDS, MATCHES)
-    links = checkpoint(confirm(best, docs, k, least))
+    links = confirm(best, docs, k, least)
+    several = checkpoint(full.groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("id"))
+    if not several.isEmpty():  # an id that bears several texts links their classes
+        rep = full.groupBy("digest").agg(F.min("id").alias("rep"))
+        shared = full.join(several, "id", "left_semi").select("id", "digest").join(rep, "digest")
+        links = links.unionByName(shared.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct())
+    links = checkpoint(links)
 
     wide = None
     for turn in range(1, ROUNDS + 2):

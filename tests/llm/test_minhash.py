@@ -82,3 +82,12 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id) == [(1, 1), (1, 1), (2, 2), (3, 1)]
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
     assert near_duplicates(spark.createDataFrame([], COLS)).count() == 0
+
+
+def test_texts_of_one_id_are_one_document(spark):
+    a, b = (" ".join(f"{c}{j}" for j in range(80)) for c in "ab")
+    rows = [(3, a), (5, a), (5, b), (7, b + " more"), (8, "something else altogether in here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (8, 8, True)]
+    assert sorted(r.doc_id for r in minhash.drop_near_duplicates(docs).collect()) == [3, 8]
