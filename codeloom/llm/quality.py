@@ -202,17 +202,24 @@ def _sampled(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lines, pa.int64()), pa.array([x[e - n : e].tobytes() for n, e in zip(lines, ends)], pa.binary())], names=["id", "y", "lines", "x"])
 
 
+def _budget(rows, most):
+    """The rows (h, id, y, lines, x) in the order of h until the lines are used up, then by id."""
+    kept, n = [], 0
+    for r in sorted(rows):
+        n += r[3]
+        if n > most:
+            break
+        kept.append(r[1:])
+    return sorted(kept)
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Field:
     sample = checkpoint(labelled(labels, label, folds=FOLDS, most=FIT_ROWS))
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(sample), "id").select("id", "y", "text")
     size = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
     rows = rows.where(size <= FIT_LINES // 10)  # so that no single text fills the sample
-    got = sorted((r.id, r.y, r.lines, bytes(r.x)) for r in rows.mapInArrow(_sampled, "id long, y int, lines long, x binary").collect())
-    kept, n = [], 0
-    for r in got:  # in id order until the lines are used up
-        if n + r[2] <= FIT_LINES:
-            kept.append(r)
-            n += r[2]
+    got = rows.mapInArrow(_sampled, "id long, y int, lines long, x binary").withColumn("h", F.xxhash64("id")).collect()
+    kept = _budget([(r.h, r.id, r.y, r.lines, bytes(r.x)) for r in got], FIT_LINES)
     y = np.array([r[1] for r in kept], int)
     if len(set(y.tolist())) < 2:
         out = Field([])

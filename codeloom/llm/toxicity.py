@@ -114,6 +114,23 @@ def _tokenizer() -> Tokenizer:
     return t
 
 
+def _marks(texts):
+    """Lower-cased; what is neither ASCII nor a letter becomes a blank, as for the learner."""
+    return pc.replace_substring_regex(pc.replace_substring(pc.utf8_lower(texts), "n\u2019t", "n't"), r"[^\p{L}\p{Nl}\p{No}\x00-\x7F]", " ")
+
+
+def _quotes(data, offs):
+    """The bytes with a blank for each apostrophe that is not between two letters of its row."""
+    letter = ((data | 32) - 97 < 26) | (data > 127)
+    at = np.flatnonzero(data == 39)
+    row = np.searchsorted(offs, at, "right")
+    inner = (at > offs[row - 1]) & (at + 1 < offs[row])
+    inner[inner] = letter[at[inner] - 1] & letter[at[inner] + 1]
+    data = data.copy()
+    data[at[~inner]] = 32
+    return data
+
+
 _END = np.zeros(256, bool)
 _END[list(b".!?;\n")] = True
 
@@ -153,7 +170,8 @@ class Lexicon:
     def features(self, texts, tokenizer):
         """A row of three numbers for each text."""
         out = np.zeros((len(texts), 3))
-        for row, data, offs in pieces(pc.utf8_lower(texts)):
+        for row, data, offs in pieces(_marks(texts)):
+            data = _quotes(data, offs)
             counts, h, start, end = tokenizer.words(data, offs)
             if not len(h):
                 continue

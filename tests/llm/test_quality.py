@@ -52,3 +52,13 @@ def test_odd_rows_and_no_labels(spark):
     none = Q.score(docs, Q.fit(docs, labels.limit(0))).collect()
     assert [r.score for r in none] == [0.5] * 4
     assert Q.score(docs.limit(0), Q.fit(docs, labels)).count() == 0
+
+
+def test_fit_sample_is_no_prefix_of_ids():
+    h = np.random.default_rng(5).permutation(1000).tolist()
+    rows = [(h[i], i, i % 2, 10 if i < 900 else 1, b"") for i in range(1000)]
+    kept = Q._budget(rows, 2000)
+    ids = [r[0] for r in kept]
+    assert ids == sorted(ids) and sum(r[2] for r in kept) <= 2000
+    assert max(h[i] for i in ids) < min(h[i] for i in range(1000) if i not in set(ids))
+    assert 400 < np.mean(ids) < 600

@@ -47,3 +47,14 @@ def test_all_rows_and_odd_texts(spark):
     assert {r.doc_id for r in T.drop_toxic(docs, model).collect()} == {1, 2, 4}
     assert T.drop_toxic(docs, model).columns == docs.columns
     assert T.score(docs.limit(0), T.fit(docs.limit(0), labels)).count() == 0
+
+
+def test_words_beside_quotes_and_marks_are_found():
+    import pyarrow as pa
+
+    entries = [("idiot", False, INSULT, 3.0), ("moro", True, INSULT, 3.0), ("isn't", False, NEGATION, 1.0), ("you're", False, TARGET, 1.0)]
+    lexicon, tokenizer = T.Lexicon(entries), T._tokenizer()
+    best = lambda *texts: lexicon.features(pa.array(texts), tokenizer)[:, 0].tolist()
+    said = ("an 'idiot' here", "'idiot", "idiot'", "‘idiot’", "“idiot”", "«idiot»", "an idiot here", "idiot…", "''moronic''", "…moronic", "¿idiot?")
+    assert best(*said) == [3.0] * len(said)
+    assert best("you're idiot", "isn't idiot", "isn’t idiot", "idiotés", "x'idiot") == [3.75, 0.75, 0.75, 0.0, 0.0]
