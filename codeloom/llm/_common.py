@@ -17,12 +17,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder of ``spark.checkpoint.dir``.
 
-    The setting is read from the session; only where it is unset (tests on one
-    machine) a temporary folder takes its place.
+    The setting is read from the session; only where it is unset and the master is
+    local (tests on one machine) a temporary folder takes its place.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -76,10 +74,50 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return ends.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(ends.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where it is unset, one of this machine, which only a local master may use."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet into the shared folder of ``spark.checkpoint.dir`` and read again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="stages-")
-    path = f"{folder}/stage-{uuid.uuid4().hex}"
+    """``df`` written as Parquet into the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Written tables of one run of an operator, each deleted as soon as nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_folder(self.spark)}/scratch-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            _, path = self.paths.pop(id(df))
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free(columns, *names: str) -> list[str]:
+    """``names``, each with as many underscores as make it differ from ``columns`` in any case of letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out

@@ -35,7 +35,7 @@ class Tokenizer:
 
     def powers(self, n: int) -> None:
         if len(self.up) < n + 1:
-            n = max(n + 1, 1 << 20)
+            n = max(n + 1, 1 << 18)
             for name, base in (("up", B), ("down", pow(B, -1, 1 << 64))):
                 p = np.full(n, base, np.uint64)
                 p[0] = 1
@@ -66,7 +66,7 @@ class Tokenizer:
         return mix((self.sums[start + n] - self.sums[start]) * self.down[start] + np.uint64(n * 0xC2B2AE3D27D4EB4F & MASK))
 
 
-def pieces(texts: pa.Array, most: int = 1 << 20):
+def pieces(texts: pa.Array, most: int = 1 << 18):
     """(first row, bytes, offsets) of runs of rows of about ``most`` bytes; null texts are empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()

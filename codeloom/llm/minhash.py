@@ -3,25 +3,22 @@
 1. A document is the set of its distinct ``k``-word shingles.  Documents with
    equal sets are one class from here on (a 128-bit digest of the sorted set), so
    copies never meet each other in a join.
-2. A class has ``COORDS`` minimum values.  It is posted under coordinate-value
+2. A class has ``COORDS`` minimum values and is posted under its coordinate-value
    pairs; two sets of Jaccard 0.8 agree in 51 of 64 coordinates on average, and
    pairs that agree in fewer than ``MATCHES`` (38: 4.1 standard deviations below)
-   are not links.  Who agrees in 38 of 64 shares one of any 27 coordinates, taken
-   in one order for all: so only each class's prefix of its 27 rarest pairs is
-   posted, and long lists are skipped.  Rarity is read from a histogram of fixed
-   size over all signatures.
+   are not links.  Lists are counted: whoever has fewer than MATCHES pairs in lists of
+   two or more has no partner and leaves all lists.  Of s pairs that are left, only the
+   prefix of the s - MATCHES + 1 in the shortest lists stays posted, in one order
+   for all: partners meet in it, and the long lists are skipped.
 3. Each list links its members to two of them, its most central one (whose own
    lists are the longest: of many edited copies of a text, the text itself) and one
    drawn by hash: two candidates for a posting, however long the list.  Collisions
    are counted on the signatures, and a document's ``TRIES`` best pairs that pass are
-   confirmed on the full sets.  Links make components; lists that still hold several
-   components draw other members, for ``ROUNDS`` rounds more.
-4. Lists that still hold several components are merged: members outside a list's
-   largest component are compared with all others of similar size inside blocks, on wider signatures
-   (``WIDE`` coordinates, of which links miss at most 4.4 standard deviations), and
-   what passes is confirmed.  Long lists are dealt as pairs of blocks over many tasks.
-
-No pair within a component is ever made beyond those with a list's first member.
+   confirmed on the full sets.  Links make components.
+4. Lists that still hold several components are merged (``merge``): members outside
+   the largest component are compared with all others of similar size, in pairs of
+   blocks dealt over many tasks; collisions are counted first, then the full sets
+   decide.  A task tells only links that join two of its components.
 
 Defined results: documents without words, or with a null text, have no shingles
 and link with nothing; rows with a null id too (their component is null and they
@@ -36,17 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import checkpoint, components, table
+from ._common import Scratch, checkpoint, components, free, table
 from ._tokens import Tokenizer, mix, pieces, shingles
 
 COORDS, MATCHES = 64, 38
-PREFIX = COORDS - MATCHES + 1
-CELLS = 1 << 16
-#: One byte for each of WIDE further coordinates; links agree in 410 of 512 on average.
-WIDE, WIDE_MATCHES = 512, 370
-TRIES, ROUNDS = 3, 2
-#: Members of a block when a long list is merged, and pairs that share one copy of their hub's set.
-BLOCK, TOGETHER = 512, 64
+#: Times that classes without enough partners are taken out of the lists.
+PEELS = 2
+#: Pairs of a document that are confirmed before lists are merged, and pairs that share one copy of their hub's text.
+TRIES, TOGETHER = 3, 64
+#: Members and shingles of a block when lists are merged.
+BLOCK, SHINGLES = 2048, 1 << 20
 #: Above so many rows the ids whose sets are needed, and the places they go to, are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -82,7 +78,7 @@ def _sign(k):
                     all_, starts = np.concatenate(held), np.cumsum([0, *map(len, held)])[:-1]
                     out = np.empty((COORDS, len(held)), np.uint32)
                     for j in range(COORDS):
-                        out[j] = np.minimum.reduceat(all_ * mul[j] + add[j], starts) >> np.uint64(32)
+                        out[j] = mix(np.minimum.reduceat(all_ * mul[j] + add[j], starts)).astype(np.uint32)  # minima of large sets share their leading bits
                     signs.extend(row.tobytes() for row in np.ascontiguousarray(out.T))
                     held.clear()
 
@@ -104,25 +100,6 @@ def _sign(k):
     return run
 
 
-def _wide(k):
-    """id and WIDE one-byte minima of each row that has shingles."""
-
-    def run(batches):
-        tokenizer, (mul, add) = Tokenizer(), _coefficients(WIDE, 7)
-        for batch in batches:
-            rows, out = [], []
-            for i, s in _sets(batch.column(1), tokenizer, k):
-                if len(s):
-                    low = np.empty(WIDE, np.uint64)
-                    for j in range(0, WIDE, 32):
-                        low[j : j + 32] = (s[:, None] * mul[j : j + 32] + add[j : j + 32]).min(0)
-                    rows.append(i)
-                    out.append((low >> np.uint64(16)).astype(np.uint8).tobytes())  # minima of large sets share their leading bits
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(out, pa.binary())], names=["id", "wide"])
-
-    return run
-
-
 def _matrix(column, kind=np.uint32, n=COORDS) -> np.ndarray:
     """The signatures of a column as rows of n numbers."""
     if not len(column):
@@ -136,25 +113,44 @@ def _keys(m: np.ndarray) -> np.ndarray:
     return mix(m.astype(np.uint64) + (np.arange(1, COORDS + 1, dtype=np.uint64) << np.uint64(32)))
 
 
-def _histogram(batches):
-    total = np.zeros(CELLS, np.int64)
+def _post(batches):
+    """id, its 64 coordinate-value pairs as keys."""
     for batch in batches:
-        total += np.bincount((_keys(_matrix(batch.column(0))) >> np.uint64(48)).ravel().astype(np.int64), minlength=CELLS)
-    cells = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
+        keys = _keys(_matrix(batch.column(1)))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * COORDS, pa.int32()), pa.array(keys.ravel().view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "keys"])
 
 
-def _post(rarity):
-    def run(batches):
-        counts = rarity.value
-        for batch in batches:
-            keys = _keys(_matrix(batch.column(1)))
-            first = np.lexsort((keys, counts[(keys >> np.uint64(48)).astype(np.int64)]), axis=1)[:, :PREFIX]
-            flat = np.take_along_axis(keys, first, 1).ravel().astype(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * PREFIX, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "keys"])
+def _low(batches):
+    """id, n and the low byte of each coordinate."""
+    for batch in batches:
+        low = _matrix(batch.column(2)).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in low], pa.binary())], names=["id", "n", "sign"])
 
-    return run
+
+def prefixes(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, id, m): the postings by which every pair that agrees in MATCHES coordinates meets, and the length of their lists.
+
+    A class of which fewer than MATCHES pairs are in a list of two or more has no such
+    partner and goes, which shortens the lists, so this is done ``PEELS`` times.  Of s
+    pairs that are left the s - MATCHES + 1 in the shortest lists are posted, in one
+    order of all keys: partners share one of these, and the long lists are skipped.
+    """
+    posted = classes.select("id", "signature").mapInArrow(_post, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
+    shared = None
+    for _ in range(PEELS + 1):
+        lists = posted.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+        last, shared = shared, scratch.keep(posted.join(lists, "key"))
+        if last is not None:
+            scratch.drop(last)
+        enough = shared.groupBy("id").agg(F.count("*").alias("s")).where(F.col("s") >= MATCHES).select("id")
+        posted = shared.join(enough, "id").select("id", "key")
+    first = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("m", "key"))).alias("all")).where(F.size("all") >= MATCHES)  # COORDS entries at most
+    first = first.select("id", F.explode(F.slice("all", F.lit(1), F.size("all") - (MATCHES - 1))["key"]).alias("key"))
+    first = scratch.keep(first)
+    out = scratch.keep(first.join(first.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key"))
+    scratch.drop(shared, first)
+    return out
 
 
 def _agree(kind, n, matches):
@@ -192,70 +188,122 @@ def _groups(batches):
         yield held.combine_chunks()
 
 
+def _set_rows(k):
+    """id and the sorted shingle hashes of each row that has shingles."""
+
+    def run(batches):
+        tokenizer = Tokenizer()
+        for batch in batches:
+            rows, out = [], []
+            for i, x in _sets(batch.column(1), tokenizer, k):
+                if len(x):
+                    rows.append(i)
+                    out.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(out, pa.binary())], names=["id", "shingles"])
+
+    return run
+
+
+def _common(mark, flat, start, n, i, at) -> np.ndarray:
+    """How many shingles set i shares with each set of ``at``; mark is all 0 before and after."""
+    own = flat[start[i] : start[i] + n[i]]
+    mark[own] = 1
+    off = np.concatenate(([0], np.cumsum(n[at])))
+    places = np.repeat(start[at] - off[:-1], n[at]) + np.arange(off[-1])
+    both = np.add.reduceat(mark[flat[places]], off[:-1], dtype=np.int64)
+    mark[own] = 0
+    return both
+
+
 def _merge(least):
-    """Pairs of different components and similar size that agree, within each group of a sorted partition."""
+    """Within each group of a sorted partition: a link between any two components that have one, no more than join them."""
 
     def run(batches):
         for t in _groups(batches):
-            g, ids, comp, n, blk, two = (t.column(i).to_numpy() for i in range(6))
-            m = t.column(6)
-            m = _matrix(m.combine_chunks() if isinstance(m, pa.ChunkedArray) else m, np.uint8, WIDE)
+            g, ids, comp, blk, two = (t.column(i).to_numpy() for i in range(5))
+            signs, sets = _matrix(_one(t.column(5)), np.uint8), _one(t.column(6))
             edges = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
             a, b = [], []
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                if comp[lo:hi].min() == comp[lo:hi].max():
+                c, own, block, sign = comp[lo:hi].copy(), ids[lo:hi], blk[lo:hi], signs[lo:hi]
+                if c.min() == c.max():
                     continue
-                for i in range(lo, hi - 1):
-                    r = slice(i + 1, hi)
-                    ok = (comp[r] != comp[i]) & (100 * np.minimum(n[r], n[i]) >= least * np.maximum(n[r], n[i]))
+                whole = np.frombuffer(b"".join(x.as_py() for x in sets.slice(lo, hi - lo)), np.uint64)
+                n = np.array([len(x.as_buffer()) // 8 for x in sets.slice(lo, hi - lo)])
+                names, flat = np.unique(whole, return_inverse=True)
+                start, mark = np.cumsum(n) - n, np.zeros(len(names), np.uint8)
+                for i in range(hi - lo - 1):
+                    r = slice(i + 1, hi - lo)
+                    ok = (c[r] != c[i]) & (100 * np.minimum(n[r], n[i]) >= least * np.maximum(n[r], n[i]))
                     if two[lo]:
-                        ok &= blk[r] != blk[i]
+                        ok &= block[r] != block[i]
                     at = np.flatnonzero(ok) + i + 1
                     if len(at):
-                        at = at[np.count_nonzero(m[at] == m[i], axis=1) >= WIDE_MATCHES]
-                        a.extend(np.minimum(ids[at], ids[i]).tolist())
-                        b.extend(np.maximum(ids[at], ids[i]).tolist())
+                        at = at[np.count_nonzero(sign[at] == sign[i], axis=1) >= MATCHES]
+                    if not len(at):
+                        continue
+                    both = _common(mark, flat, start, n, i, at)
+                    for j in at[100 * both >= least * (n[i] + n[at] - both)].tolist():
+                        if c[j] != c[i]:
+                            a.append(min(own[i], own[j]))
+                            b.append(max(own[i], own[j]))
+                            c[c == c[j]] = c[i]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _word_rows(batches):
-    """id, number of words, and the words of each row as compressed 32-bit hashes."""
-    tokenizer, codec = Tokenizer(), pa.Codec("zstd")
+def _one(column):
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def _packed(batches):
+    """id, size in bytes, and the compressed text of each row."""
+    codec = pa.Codec("zstd")
     for batch in batches:
-        for at, data, offs in pieces(batch.column(1)):
-            counts, h, _, _ = tokenizer.words(data, offs)
-            short, ends = (h >> np.uint64(32)).astype(np.uint32), np.cumsum(counts)
-            packed = [codec.compress(short[to - n : to].tobytes(), asbytes=True) for n, to in zip(counts.tolist(), ends.tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(counts)), pa.array(counts, pa.int32()), pa.array(packed, pa.binary())], names=["id", "n", "words"])
+        texts = [x.as_buffer() for x in batch.column(1).fill_null("").cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([x.size for x in texts], pa.int64()), pa.array([codec.compress(x, asbytes=True) if x.size else b"" for x in texts], pa.binary())], names=["id", "size", "text"]
+        )
+
+
+def _unpacked(sizes, packed, most: int = 1 << 20):
+    """(first row, texts) of runs of rows of about ``most`` bytes."""
+    codec, at, held, total = pa.Codec("zstd"), 0, [], 0
+    for i, n in enumerate(sizes.tolist()):
+        held.append(codec.decompress(packed[i].as_buffer(), n, asbytes=True) if n else b"")
+        total += n
+        if total >= most:
+            yield at, pa.array(held, pa.binary())
+            at, held, total = i + 1, [], 0
+    if held:
+        yield at, pa.array(held, pa.binary())
 
 
 def _confirm(k, least):
-    """Sorted by (hub, salt, hub's rows first): keeps members whose sets are as similar as asked."""
+    """Sorted by (hub, salt, hub's rows first): keeps members whose full sets are as similar as asked."""
 
     def run(batches):
-        now, hubs, codec = None, [], pa.Codec("zstd")
+        now, hubs, tokenizer = None, [], Tokenizer()
         for batch in batches:
-            hub, salt, role, ids, n = (batch.column(i).to_numpy() for i in range(5))
-            packed = batch.column(5)
+            hub, salt, role, ids, sizes = (batch.column(i).to_numpy() for i in range(5))
             a, b = [], []
-            for i in range(len(ids)):
-                h = np.frombuffer(codec.decompress(packed[i].as_buffer(), 4 * int(n[i])), np.uint32)
-                s = np.unique(shingles(n[i : i + 1].astype(np.int64), mix(h.astype(np.uint64) + np.uint64(1)), k)[1])
-                if (hub[i], salt[i]) != now:
-                    now, hubs = (hub[i], salt[i]), []
-                if role[i] == 0:
-                    hubs.append(s)
-                    continue
-                for x in hubs:
-                    if 100 * min(len(x), len(s)) < least * max(len(x), len(s)):
+            for at, texts in _unpacked(sizes, batch.column(5)):
+                for row, s in _sets(texts, tokenizer, k):
+                    i = at + row
+                    if (hub[i], salt[i]) != now:
+                        now, hubs = (hub[i], salt[i]), []
+                    if role[i] == 0:
+                        hubs.append(s)
                         continue
-                    both = len(np.intersect1d(x, s, assume_unique=True))
-                    if both and 100 * both >= least * (len(x) + len(s) - both):
-                        a.append(hub[i])
-                        b.append(ids[i])
-                        break
+                    for x in hubs:
+                        if 100 * min(len(x), len(s)) < least * max(len(x), len(s)):
+                            continue
+                        both = len(np.intersect1d(x, s, assume_unique=True))
+                        if both and 100 * both >= least * (len(x) + len(s) - both):
+                            a.append(hub[i])
+                            b.append(ids[i])
+                            break
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
@@ -270,17 +318,17 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, least: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity.
 
-    Sets travel as their texts' words, 32 bits each and compressed, a hub's once for
-    about ``TOGETHER`` of its pairs; a hot hub's pairs are dealt over as many groups.
+    Sets travel as their compressed texts, a hub's once for about ``TOGETHER`` of its
+    pairs; a hot hub's pairs are dealt over as many groups.
     """
     pairs = checkpoint(pairs.select("a", "b"))
     groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("groups"))
     pairs = checkpoint(pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt")))
     ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = _only(docs, ids).mapInArrow(_word_rows, "id long, n int, words binary")
+    sets = _only(docs, ids).mapInArrow(_packed, "id long, size long, text binary")
     want = pairs.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("id")).distinct().unionByName(pairs.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("id")))
     want = F.broadcast(want) if pairs.count() <= BROADCAST_ROWS // 2 else want
-    rows = sets.join(want, "id").select("a", "salt", "role", "id", "n", "words").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
+    rows = sets.join(want, "id").select("a", "salt", "role", "id", "size", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
     return rows.mapInArrow(_confirm(k, least), "a long, b long").distinct()
 
 
@@ -289,26 +337,67 @@ def _drawn(turn: int):
     return F.max_by("id", F.xxhash64("key", "id", F.lit(turn)))
 
 
+def _cost(n):
+    """Rows that a group of n sends when each of its blocks meets each other one."""
+    return F.col(n) * F.ceil(F.col(n) / BLOCK)
+
+
+def merge(postings: DataFrame, low: DataFrame, comp: DataFrame, docs: DataFrame, k: int, least: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that join the components which meet in lists of several.
+
+    Lists that share members make a bundle.  Where a bundle as a whole sends fewer
+    rows than its lists one by one, it is one group, so that its pairs meet once;
+    otherwise each list is.  In a group the members of the largest component meet only
+    the others, and those meet everyone, in pairs of blocks of at most about ``BLOCK``
+    rows and ``SHINGLES`` shingles, each pair of blocks in a task with its full sets.
+    """
+    rows = postings.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("id").alias("head"), F.count("*").alias("m")).where("x <> y").select("key", "head", "m")
+    rows = scratch.keep(rows.join(mixed, "key"))
+    bundles = checkpoint(components(rows.select("head", "id").distinct(), "head", "id").withColumnRenamed("component", "bundle"))
+    apart = rows.groupBy("key").agg(F.min("head").alias("id"), F.min("m").alias("m")).join(bundles, "id").groupBy("bundle").agg(F.sum(_cost("m")).alias("apart"))
+    whole = bundles.groupBy("bundle").agg(F.count("*").alias("m")).join(apart, "bundle").select("bundle", (_cost("m") <= F.col("apart")).alias("whole"))
+    group = F.when(F.col("whole"), F.xxhash64("bundle", F.lit(1))).otherwise(F.xxhash64("key", F.lit(0)))
+    members = rows.join(bundles, "id").join(whole, "bundle").select(group.alias("group"), "id", "comp").distinct()
+    members = scratch.keep(members.join(low.groupBy("id").agg(F.max("n").alias("n")), "id"))
+    per = members.groupBy("group", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("n")).groupBy("group")
+    per = per.agg(F.max(F.struct("m", "comp", "n")).alias("top"), F.sum("m").alias("m"), F.sum("n").alias("n"))
+    blocks = lambda m, n: F.greatest(F.ceil(m / BLOCK), F.ceil(n / SHINGLES)).cast("int")
+    per = per.select("group", F.col("top.comp").alias("most"), blocks(F.col("top.m"), F.col("top.n")).alias("inner"), blocks(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n")).alias("outer"))
+    within = F.col("comp") == F.col("most")
+    blk = F.pmod(F.xxhash64("id"), F.when(within, F.col("inner")).otherwise(F.col("outer"))) + F.when(within, 0).otherwise(F.col("inner"))
+    sent = members.join(per, "group").withColumn("blk", blk.cast("int"))
+    sent = sent.withColumn("other", F.explode(F.sequence(F.when(within, F.col("inner")).otherwise(0), F.col("inner") + F.col("outer") - 1)))
+    g = F.xxhash64("group", F.least("blk", "other"), F.greatest("blk", "other"))
+    sent = sent.select(g.alias("g"), "id", "comp", "blk", (F.col("other") != F.col("blk")).cast("int").alias("two")).join(low.select("id", "sign"), "id")
+    ids = checkpoint(members.select("id").distinct())
+    sets = _only(docs, ids).mapInArrow(_set_rows(k), "id long, shingles binary")
+    found = sent.join(sets, "id").select("g", "id", "comp", "blk", "two", "sign", "shingles").repartition("g").sortWithinPartitions("g")
+    found = checkpoint(found.mapInArrow(_merge(least), "a long, b long").distinct())
+    scratch.drop(rows, members)
+    return found
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, least: int = 80) -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row: links are pairs with 100 * |A & B| >= least * |A | B|."""
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = checkpoint(docs.mapInArrow(_sign(k), _SIGNED))  # the size of an id and a signature a row
+    scratch = Scratch(docs.sparkSession)
+    signed = scratch.keep(docs.mapInArrow(_sign(k), _SIGNED))  # an id, a digest and a signature a row: the texts are read once for it
     full = signed.where("digest is not null and id is not null")
-    classes = checkpoint(full.groupBy("digest").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n"), F.min("signature").alias("signature")).drop("digest"))
-
-    rarity = np.zeros(CELLS, np.int64)
-    for cell, n in classes.select("signature").mapInArrow(_histogram, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():  # CELLS rows at most
-        rarity[cell] = n
-    rarity = docs.sparkSession.sparkContext.broadcast(rarity)
-    posted = classes.select("id", "signature").mapInArrow(_post(rarity), "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
-    lists = posted.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    postings = checkpoint(posted.join(lists, "key"))  # what is alone in its list is gone
+    classes = scratch.keep(full.groupBy("digest").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n"), F.first("signature").alias("signature")).drop("digest"))
+    own = scratch.keep(signed.drop("signature"))
+    scratch.drop(signed)
+    full = own.where("digest is not null and id is not null")
+    postings = prefixes(classes, scratch)
+    near = classes.join(postings.select("id").distinct(), "id", "left_semi")
+    low = scratch.keep(near.select("id", "n", "signature").mapInArrow(_low, "id long, n long, sign binary"))
+    scratch.drop(classes)
     central = postings.groupBy("id").agg(F.round(F.sum(F.log("m")), 6).alias("central"))
     ranked = postings.join(central, "id")
     first = F.max(F.struct(F.col("central").alias("c"), (-F.col("id")).alias("i")))["i"]
     hubs = ranked.groupBy("key").agg((-first).alias("x"), _drawn(0).alias("y")).select("key", F.explode(F.array("x", "y")).alias("hub"))
     heads = postings.join(hubs, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    best = _best(heads, classes.select("id", "signature"), np.uint32, COORDS, MATCHES)
+    best = _best(heads, low.select("id", "sign"), np.uint8, COORDS, MATCHES)
     links = confirm(best, docs, k, least)
     several = checkpoint(full.groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("id"))
     if not several.isEmpty():  # an id that bears several texts links their classes
@@ -317,41 +406,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         links = links.unionByName(shared.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct())
     links = checkpoint(links)
 
-    wide = None
-    for turn in range(1, ROUNDS + 2):
-        comp = components(links)
-        open_ = postings.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-        per = open_.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key")
-        per = per.agg(F.max_by("comp", F.struct("n", "comp")).alias("most"), F.max("n").alias("d"), F.sum("n").alias("m")).where("d < m")
-        mixed = per.select("key", "most", F.ceil(F.col("d") / BLOCK).cast("int").alias("inner"), F.ceil((F.col("m") - F.col("d")) / BLOCK).cast("int").alias("outer"))
-        open_ = checkpoint(open_.join(mixed, "key"))
-        if wide is None:
-            wide = checkpoint(_only(docs, checkpoint(open_.select("id").distinct())).mapInArrow(_wide(k), "id long, wide binary"))
-        if turn > ROUNDS:
-            break
-        hubs = open_.groupBy("key").agg(F.max_by(F.struct("id", "comp"), F.xxhash64("key", "id", F.lit(turn))).alias("h"))
-        heads = open_.join(hubs, "key").where("comp <> h.comp").select(F.col("h.id").alias("a"), F.col("id").alias("b")).distinct()
-        links = checkpoint(links.unionByName(confirm(_best(heads, wide, np.uint8, WIDE, WIDE_MATCHES), docs, k, least)))
-
-    # Members of a list's largest component meet only the others; those meet everyone.
-    within = F.col("comp") == F.col("most")
-    blk = F.pmod(F.xxhash64("id"), F.when(within, F.col("inner")).otherwise(F.col("outer"))) + F.when(within, 0).otherwise(F.col("inner"))
-    open_ = open_.withColumn("blk", blk.cast("int"))
-    rows = open_.withColumn("other", F.explode(F.sequence(F.when(within, F.col("inner")).otherwise(0), F.col("inner") + F.col("outer") - 1)))
-    group = F.xxhash64("key", F.least("blk", "other"), F.greatest("blk", "other"))
-    rows = rows.select(group.alias("g"), "id", "comp", "blk", (F.col("other") != F.col("blk")).cast("int").alias("two"))
-    rows = rows.join(classes.select("id", "n"), "id").join(wide, "id").select("g", "id", "comp", "n", "blk", "two", "wide")
-    more = rows.repartition("g").sortWithinPartitions("g").mapInArrow(_merge(least), "a long, b long").distinct()
-    links = links.unionByName(confirm(more, docs, k, least))
-    node = checkpoint(components(links))
+    found = merge(postings, low, components(links), docs, k, least, scratch)
+    node = checkpoint(components(links.unionByName(found)))
 
     # A class belongs to the component of its smallest id.
-    own = full.select("id", "digest", "n_shingles")
     per_class = full.groupBy("digest").agg(F.min("id").alias("rep"))
     per_class = per_class.join(node.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    own = own.join(per_class, "digest").select("id", "n_shingles", "component_id")
-    rest = signed.where("digest is null or id is null").select("id", "n_shingles", F.col("id").alias("component_id"))
-    out = own.unionByName(rest)
+    out = full.join(per_class, "digest").select("id", "n_shingles", "component_id")
+    rest = own.where("digest is null or id is null").select("id", "n_shingles", F.col("id").alias("component_id"))
+    out = scratch.keep(out.unionByName(rest))
+    scratch.drop(own, postings, low)
     return out.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
@@ -361,15 +425,16 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, least: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns: one of each group, the one with the smallest id; of rows that repeat an id, one."""
-    found = checkpoint(near_duplicates(docs, key, text, k, least).select(key, "kept").where(F.col(key).isNotNull()))
+    again, row = free(docs.columns, "again", "row")
+    found = near_duplicates(docs, key, text, k, least).select(key, "kept").where(F.col(key).isNotNull())
     gone = found.where(~F.col("kept")).select(key).distinct()
-    again = found.where("kept").groupBy(key).count().where("count > 1").select(key)
-    gone = checkpoint(gone.withColumn("_again", F.lit(False)).unionByName(again.withColumn("_again", F.lit(True))))
+    repeated = found.where("kept").groupBy(key).count().where("count > 1").select(key)
+    gone = checkpoint(gone.withColumn(again, F.lit(False)).unionByName(repeated.withColumn(again, F.lit(True))))
     small = gone.count() <= BROADCAST_ROWS
     left = docs.join(F.broadcast(gone) if small else gone, key, "left_anti")
-    twice = gone.where("_again").select(key)
+    twice = gone.where(again).select(key)
     if twice.isEmpty():
         return left
     order = Window.partitionBy(key).orderBy(*(c for c in docs.columns if c != key))
-    one = docs.join(twice, key, "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*docs.columns)
+    one = docs.join(twice, key, "left_semi").withColumn(row, F.row_number().over(order)).where(F.col(row) == 1).select(*docs.columns)
     return left.unionByName(one)
