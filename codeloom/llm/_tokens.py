@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 B = 0x9E3779B97F4A7C13  # odd: it has an inverse modulo 2**64
 MASK = (1 << 64) - 1
@@ -86,6 +87,16 @@ def pieces(texts: pa.Array, most: int = 1 << 18):
         at = to
 
 
+def runs(texts: pa.Array, most: int = 1 << 20):
+    """(first row, slice) of runs of rows of about ``most`` bytes, for steps that copy texts."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
+    ends, at = np.cumsum(sizes), 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + most, "right")))
+        yield at, texts.slice(at, to - at)
+        at = to
+
+
 def shingles(counts: np.ndarray, h: np.ndarray, k: int):
     """(counts by row, hash) of the k-word shingles; a row of fewer words has its whole sequence as one."""
     n, off = len(h), np.concatenate(([0], np.cumsum(counts)))

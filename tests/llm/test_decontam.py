@@ -72,12 +72,22 @@ def test_blocks_find_every_print_within_the_radius():
     words = [r.integers(0, 1 << 63, 12, dtype=np.uint64) for _ in range(300)]
     index = decontam.Index(list(range(300)), words)
     own = index.sizes[12][1]
-    prints = r.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2)
-    prints[:200] = own[:200]
-    for i in range(200):
-        for b in r.choice(64, r.integers(0, 30), replace=False):
-            prints[i] ^= np.uint64(1) << np.uint64(b)
-    far = np.bitwise_count(prints[:, None] ^ own[None, :])
+    prints = r.integers(0, 1 << 63, (2400, 2), dtype=np.uint64) * np.uint64(2)
+    prints[:300] = own
+    for i in range(300):
+        for b in r.choice(128, r.integers(0, 46), replace=False):
+            prints[i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    far = np.bitwise_count(prints[:, None] ^ own[None, :]).sum(-1)
     w, j, d = index.candidates(12, prints)
     assert set(zip(w.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(far <= decontam.RADIUS))))
-    assert (far[w, j] == d).all() and simhash(np.array([7], np.uint64)) == 7
+    assert (far[w, j] == d).all() and simhash(np.array([7], np.uint64))[0] == 7
+
+
+def test_blocks_are_selective(monkeypatch):
+    """Of random items, few get past the blocks to the comparison of whole fingerprints."""
+    r = np.random.default_rng(6)
+    index = decontam.Index(list(range(2000)), [r.integers(0, 1 << 63, 40, dtype=np.uint64) for _ in range(2000)])
+    seen, far = [], decontam._far
+    monkeypatch.setattr(decontam, "_far", lambda a, b: seen.append(len(a)) or far(a, b))
+    index.candidates(40, r.integers(0, 1 << 63, (500, 2), dtype=np.uint64) * np.uint64(2))
+    assert sum(seen) / (500 * 2000) < 0.05
