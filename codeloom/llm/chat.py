@@ -17,8 +17,8 @@ row a task; its formatted text is one value, as it is one sample.
 
 Defined results: a null text or role is empty; null turns come first; ties are
 ordered by role, then text, and repeated rows are turns of their own; a null
-conv_id is one conversation; an empty table gives no rows; other columns are
-ignored.
+conv_id is one conversation; an empty table gives no rows; other columns, whatever
+their names, are ignored; very long texts and conversations are formatted whole.
 """
 
 from __future__ import annotations

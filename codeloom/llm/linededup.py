@@ -15,7 +15,9 @@ side.  The dropped positions of a document (at most its lines) then meet its tex
 Defined results: a null or empty text is one empty line; a null doc_id is a
 document that comes after all others; rows that repeat a doc_id are one document
 for counting, and each row is cleaned by itself; an empty table gives no rows;
-columns besides the key and the text are passed through.
+columns besides the key and the text are passed through, whatever their names, but
+for n_lines and n_dropped, which are replaced; very long texts are split whole; of
+rows that tie for the smallest id each keeps its lines.
 """
 
 from __future__ import annotations
@@ -35,28 +37,23 @@ def line_key(line: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """``docs`` with the text cleaned, n_lines long (before) and n_dropped long."""
-    rows = docs.drop("n_lines", "n_dropped").withColumns(
-        {"_lines": F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), "_id": F.coalesce(F.col(key).cast("long"), F.lit(LAST)), "_fp": F.xxhash64(text)}
-    )
-    keyed = rows.select("_id", "_fp", F.posexplode(F.transform("_lines", line_key)).alias("_pos", "_k")).where(F.length("_k") >= min_chars)
-    lines = keyed.select("_id", "_fp", "_pos", F.unhex(F.md5(F.col("_k").cast("binary"))).alias("_h"))
+    columns = docs.drop("n_lines", "n_dropped").columns
+    rows = docs.select(F.struct(*columns).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("fp"))
+    cut = F.split("t", "\n", -1)
+    keyed = rows.select("id", "fp", F.posexplode(F.transform(cut, line_key)).alias("pos", "k")).where(F.length("k") >= min_chars)
+    lines = keyed.select("id", "fp", "pos", F.unhex(F.md5(F.col("k").cast("binary"))).alias("h"))
     if min_docs == 2:  # two distinct documents: the smallest and the largest differ
-        per = lines.groupBy("_h").agg(F.min("_id").alias("_keep"), F.max("_id").alias("_last")).where("_last > _keep")
+        per = lines.groupBy("h").agg(F.min("id").alias("keep"), F.max("id").alias("last")).where("last > keep")
     else:
-        per = lines.groupBy("_h", "_id").agg().groupBy("_h").agg(F.min("_id").alias("_keep"), F.count("*").alias("_n")).where(F.col("_n") >= min_docs)
-    hit = lines.join(per.select("_h", "_keep"), "_h").where("_id <> _keep")
-    drops = hit.groupBy("_id", "_fp").agg(F.collect_set("_pos").alias("_drop"))
-    n = F.size("_lines")
-    whole = F.sequence(F.lit(0), n - 1)
-    kept = F.transform(F.array_except(whole, F.col("_drop")), lambda i: F.get("_lines", i))
-    out = rows.join(drops, ["_id", "_fp"], "left").withColumns(
-        {
-            text: F.when(F.col("_drop").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(kept, "\n")),
-            "n_lines": n.cast("long"),
-            "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"),
-        }
-    )
-    return out.select(*docs.drop("n_lines", "n_dropped").columns, "n_lines", "n_dropped")
+        per = lines.select("h", "id").distinct().groupBy("h").agg(F.min("id").alias("keep"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    hit = lines.join(per.select("h", "keep"), "h").where("id <> keep")
+    drops = hit.groupBy("id", "fp").agg(F.collect_set("pos").alias("drop"))
+    out = rows.select("d", "id", "fp").join(drops, ["id", "fp"], "left").select("d", "drop", F.split(F.coalesce(F.col("d")[text], F.lit("")), "\n", -1).alias("lines"))
+    n = F.size("lines")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), "drop"), lambda i: F.get("lines", i))
+    clean = F.when(F.col("drop").isNull(), F.coalesce(F.col("d")[text], F.lit(""))).otherwise(F.array_join(kept, "\n"))
+    told = [n.cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped")]
+    return out.select(*(clean.alias(c) if c == text else F.col("d")[c].alias(c) for c in columns), *told)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

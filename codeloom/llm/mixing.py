@@ -11,15 +11,20 @@ is left, a document gives one more copy if its hash lies below the source's
 threshold.  The threshold is found without sorting documents: words are summed by
 source and leading hash bits, the bucket in which the sum passes the budget is
 found, and only this boundary bucket is refined by the next bits, ``LEVELS``
-times.  At the last level the boundary bucket goes to the nearer side.
+times.  A single row in the last boundary bucket goes to the nearer side.
 
 Shuffled are partial sums by (source, bucket): a hot source is summed before it
 moves.  The per-source table is broadcast only when it is counted and small.
 
 Defined results: a null text has size 0; a null source is a source of its own; a
-null doc_id is hashed by its text; rows that repeat an id share its hash and go
-in or stay out together; a source without words has target 0; an empty table
-gives no rows; columns that bear an output's name are replaced.
+null doc_id is hashed by its text; rows that repeat an id share its hash, and where
+that is the boundary hash, as many of them are taken as fit; a source without words
+has target 0; an empty table gives no rows; ``mix`` ignores other columns and
+``repeat`` passes all through, whatever their names; very long texts are counted
+whole.
+
+Sources are put in order by windows over the per-source table (one row a source, a
+few numbers each) in one task: meant for up to some millions of sources.
 """
 
 from __future__ import annotations
@@ -27,13 +32,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, checkpoint, md5_bits, table
+from ._common import WORD, checkpoint, md5_bits, stored, table
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2
 LEVELS, BITS = 3, 12
 #: Per-source tables of more rows are joined by shuffle instead of broadcast.
 BROADCAST_ROWS = 100_000
+#: Rows of one hash, source and size that are put in order at once.
+RANKED = 1_000_000
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -58,9 +65,10 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int =
 
 
 def thresholds(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """(source, size, h) -> by source: source_size, target, copies int, threshold long."""
+    """(source, size, h) -> by source: source_size, target, copies int, threshold long, and rest double words for its ties long rows at the threshold."""
     low = (LEVELS - 1) * BITS
-    hist = sized.groupBy("source", F.shiftright("h", low).alias("b")).agg(F.sum("size").alias("words"))
+    total = (F.sum("size").alias("words"), F.count("*").alias("ties"))
+    hist = sized.groupBy("source", F.shiftright("h", low).alias("b")).agg(*total)
     goal = targets(hist.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     goal = checkpoint(goal.withColumn("copies", copies.cast("int")).withColumn("left", F.col("target") - F.col("copies") * F.col("source_size")))
@@ -68,50 +76,72 @@ def thresholds(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int
     for depth in range(LEVELS):
         low = (LEVELS - 1 - depth) * BITS
         if depth:
-            near = sized.join(_small(bound).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", low + BITS) == F.shiftright("start", low + BITS)))
-            hist = near.groupBy("source", F.shiftright("h", low).alias("b")).agg(F.sum("size").alias("words"))
+            near = sized.join(_small(bound.select(F.col("source").alias("s"), "start")), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", low + BITS) == F.shiftright("start", low + BITS)))
+            hist = near.groupBy("source", F.shiftright("h", low).alias("b")).agg(*total)
         run = Window.partitionBy("source").orderBy("b")  # at most 2 ** BITS rows a source
         sums = hist.withColumn("upto", F.sum("words").over(run)).withColumnRenamed("source", "s")
-        over = sums.join(_small(bound), F.col("source").eqNullSafe(F.col("s"))).where("upto - words <= left and left < upto")
-        last = (depth == LEVELS - 1) & (F.col("left") - (F.col("upto") - F.col("words")) > F.col("words") / 2)
-        bound = checkpoint(
-            over.select("source", (F.col("left") - F.col("upto") + F.col("words")).alias("left"), (F.shiftleft(F.col("b") + last.cast("long"), low)).alias("start"))
-            if depth == LEVELS - 1
-            else over.select("source", (F.col("left") - F.col("upto") + F.col("words")).alias("left"), F.shiftleft("b", low).alias("start"))
-        )
-    found = bound.select(F.col("source").alias("s"), F.col("start").alias("threshold"))
-    return goal.join(found, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "copies", F.coalesce("threshold", F.lit(0)).alias("threshold"))
+        over = sums.join(_small(bound.select("source", "left")), F.col("source").eqNullSafe(F.col("s"))).where("upto - words <= left and left < upto")
+        rest = F.col("left") - F.col("upto") + F.col("words")
+        bound = checkpoint(over.select("source", rest.alias("left"), F.shiftleft("b", low).alias("start"), "words", "ties"))
+    one = F.col("ties") == 1  # a single row goes to the nearer side
+    found = bound.select(F.col("source").alias("s"), (F.col("start") + (one & (F.col("left") > F.col("words") / 2)).cast("long")).alias("threshold"), F.when(one, 0.0).otherwise(F.col("left")).alias("rest"), F.when(one, 0).otherwise(F.col("ties")).alias("ties"))
+    goal = goal.join(found, F.col("source").eqNullSafe(F.col("s")), "left")
+    return goal.select("source", "source_size", "target", "copies", *(F.coalesce(c, F.lit(0).cast(t)).alias(c) for c, t in (("threshold", "long"), ("rest", "double"), ("ties", "long"))))
+
+
+def _taken(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` (with source, size, h and any others) and per-source numbers, joined, with ``copies`` the times to take each row.
+
+    Rows that share their source's boundary hash (repeats of an id) are counted by
+    size; of each size as many are taken as fit, which ones being told by their place
+    in a written table, in buckets of ``RANKED`` rows.
+    """
+    found = checkpoint(found.withColumnRenamed("source", "s"))
+    met = rows.join(_small(found), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    more = lambda c: (F.col("copies") + c).cast("int").alias("copies")
+    rest = [c for c in met.columns if c not in ("copies", "threshold", "rest", "ties")]
+    tie = (F.col("ties") > 0) & (F.col("h") == F.col("threshold"))
+    plain = met.where(~tie).select(*rest, more((F.col("h") < F.col("threshold")).cast("int")))
+    if found.where("ties > 0").isEmpty():
+        return plain
+    tied = stored(met.where(tie).select(F.struct(*rest).alias("row"), "source", "size", "copies", "rest", F.monotonically_increasing_id().alias("place")))
+    sizes = tied.groupBy("source", "size").agg(F.count("*").alias("n"), F.first("rest").alias("rest"))
+    before = F.sum(F.col("n") * F.col("size")).over(Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1))
+    fit = F.when(F.col("size") > 0, F.round((F.col("rest") - F.coalesce(before, F.lit(0))) / F.col("size"))).otherwise(0)
+    sizes = sizes.select(F.col("source").alias("s"), F.col("size").alias("z"), F.least(F.greatest(fit, F.lit(0.0)), F.col("n")).cast("long").alias("fit"), F.ceil(F.col("n") / RANKED).alias("buckets"))
+    dealt = tied.join(sizes, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).withColumn("bucket", F.pmod(F.xxhash64("place"), F.col("buckets")))
+    counts = dealt.groupBy(F.col("s").alias("cs"), F.col("z").alias("cz"), F.col("bucket").alias("cb")).agg(F.count("*").alias("m"))
+    counts = counts.withColumn("upto", F.sum("m").over(Window.partitionBy("cs", "cz").orderBy("cb")) - F.col("m"))
+    dealt = dealt.withColumn("at", F.row_number().over(Window.partitionBy("s", "z", "bucket").orderBy("place")))
+    dealt = dealt.join(counts, F.col("s").eqNullSafe(F.col("cs")) & (F.col("z") == F.col("cz")) & (F.col("bucket") == F.col("cb")))
+    return plain.unionByName(dealt.select("row.*", more((F.col("at") + F.col("upto") <= F.col("fit")).cast("int"))))
 
 
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Id, source, size and a hash of ``LEVELS * BITS`` bits for each row."""
+def _measured(docs: DataFrame, key: str, text: str, source: str, *more) -> DataFrame:
+    """source, size and a hash of ``LEVELS * BITS`` bits for each row, and ``more``."""
     name = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
-    return docs.select(
-        F.col(key), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), md5_bits(name, LEVELS * BITS // 4).alias("h")
-    )
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(F.col(source).cast("string").alias("source"), size.alias("size"), md5_bits(name, LEVELS * BITS // 4).alias("h"), *more)
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """For each row: key, source, size, source_size, target, copies int (times to take it), taken long."""
-    sized = checkpoint(measure(docs, key, text, source))  # some tens of bytes a row: the texts are read once
-    found = checkpoint(thresholds(sized, weights, share, cap)).withColumnRenamed("source", "_s")
-    out = sized.join(_small(found), F.col("source").eqNullSafe(F.col("_s")))
-    copies = F.col("copies") + (F.col("h") < F.col("threshold")).cast("int")
-    return out.select(key, "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    sized = checkpoint(_measured(docs, key, text, source, F.col(key)))  # some tens of bytes a row: the texts are read once
+    out = _taken(sized, thresholds(sized, weights, share, cap))
+    return out.select(key, "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def repeat(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as the mix takes it, columns unchanged."""
-    sized = checkpoint(measure(docs, key, text, source))
-    found = checkpoint(thresholds(sized, weights, share, cap)).select(F.col("source").alias("_s"), F.col("copies").alias("_c"), F.col("threshold").alias("_t"))
-    name = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
-    rows = docs.withColumn("_h", md5_bits(name, LEVELS * BITS // 4)).join(_small(found), F.col(source).cast("string").eqNullSafe(F.col("_s")))
-    times = F.col("_c") + (F.col("_h") < F.col("_t")).cast("int")
-    return rows.where(times > 0).withColumn("_i", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    sized = checkpoint(_measured(docs, key, text, source).select("source", "size", "h"))
+    found = thresholds(sized, weights, share, cap).select("source", "copies", "threshold", "rest", "ties")
+    rows = _measured(docs, key, text, source, F.struct(*docs.columns).alias("d"))
+    out = _taken(rows, found).where("copies > 0").select("d", F.explode(F.sequence(F.lit(1), "copies")))
+    return out.select(*(F.col("d")[c].alias(c) for c in docs.columns))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

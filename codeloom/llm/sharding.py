@@ -12,7 +12,7 @@ placed by a map-side join without any shuffle.
 Defined results: a document with a null key is placed by its ``spread`` columns,
 so that rows without ids do not meet in one shard; repeated rows share a shard;
 an empty table gives no rows; columns that already bear the output names are
-replaced.
+replaced, others pass through; texts are not looked at, however long.
 """
 
 from __future__ import annotations
@@ -85,8 +85,8 @@ def place(docs: DataFrame, key: str = "doc_id", spread=(), shards=SHARDS, size:
 
 def write_shards(placed: DataFrame, path: str, parts_per_shard: int = 8) -> None:
     """One folder for each shard; a shard's rows are dealt over several tasks and files."""
-    salted = placed.withColumn("_part", F.pmod(F.xxhash64(*(c for c in placed.columns)), F.lit(parts_per_shard)))
-    salted.repartition("shard", "_part").drop("_part").write.partitionBy("shard").parquet(path)
+    part = F.pmod(F.xxhash64(*placed.columns), F.lit(parts_per_shard))
+    placed.repartition("shard", part).write.partitionBy("shard").parquet(path)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
