@@ -49,7 +49,7 @@ from ._tokens import Tokenizer, pieces, runs
 
 FOLDS, FIT_ROWS, LEXICON = 5, 12_000, 2_000
 #: Characters of each label's sampled texts that the learner reads.
-FIT_CHARS = 64_000_000
+FIT_CHARS = 32_000_000
 MIN_CONTEXTS, MIN_ODDS, STEM = 5, 2.5, (4, 8)
 SCOPE, OTHERS = 3, 0.25
 PLAIN, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
@@ -205,8 +205,8 @@ def _learn(batches):
     import re
 
     word = re.compile(r"[^\W\d_]+")
-    contexts, completions, docs_pos, bad, good, candidates = {}, {}, Counter(), 0, 0, None
-    docs_neg, read = Counter(), [0, 0]
+    texts, contexts, completions, docs_pos, docs_neg = [], {}, {}, Counter(), Counter()
+    bad, good, candidates, read = 0, 0, None, [0, 0]
 
     def forms(w):
         return [(w, False), *((w[:n], True) for n in range(STEM[0], min(STEM[1], len(w)) + 1))]
@@ -214,32 +214,45 @@ def _learn(batches):
     def choose():
         return {f for f, c in contexts.items() if len(c) >= MIN_CONTEXTS and (not f[1] or len(completions[f]) >= 3)}
 
+    def contexts_of_toxic():
+        """Neighbourhoods of forms that come often enough to have MIN_CONTEXTS of them."""
+        often = Counter()
+        for text in texts:
+            often.update(f for x in word.findall(text) for f in forms(x))
+        often = {f for f, n in often.items() if n >= MIN_CONTEXTS}
+        for text in texts:
+            w, seen = word.findall(text), set()
+            for i, x in enumerate(w):
+                where = hash((w[i - 1] if i else "", w[i + 1] if i + 1 < len(w) else ""))
+                for f in forms(x):
+                    if f not in often:
+                        continue
+                    c = contexts.setdefault(f, set())
+                    if len(c) < 64:
+                        c.add(where)
+                    if f[1]:
+                        s = completions.setdefault(f, set())
+                        if len(s) < 8:
+                            s.add(x)
+                    seen.add(f)
+            docs_pos.update(seen)
+        texts.clear()
+
     for batch in batches:
         for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            read[y] += len(text or "")
+            text = (text or "").lower()
+            read[y] += len(text)
             if read[y] > FIT_CHARS:  # rows come in the order of a hash
                 continue
-            w = word.findall((text or "").lower())
             if y:
                 bad += 1
-                seen = set()
-                for i, x in enumerate(w):
-                    where = hash((w[i - 1] if i else "", w[i + 1] if i + 1 < len(w) else ""))
-                    for f in forms(x):
-                        c = contexts.setdefault(f, set())
-                        if len(c) < 64:
-                            c.add(where)
-                        if f[1]:
-                            s = completions.setdefault(f, set())
-                            if len(s) < 8:
-                                s.add(x)
-                        seen.add(f)
-                docs_pos.update(seen)
+                texts.append(text)
             else:
                 if candidates is None:
+                    contexts_of_toxic()
                     candidates = choose()
                 good += 1
-                docs_neg.update({f for x in set(w) for f in forms(x) if f in candidates})
+                docs_neg.update({f for x in set(word.findall(text)) for f in forms(x) if f in candidates})
     found = []
     for f in choose() if bad and good else ():
         a, b = docs_pos[f], docs_neg[f]
