@@ -44,12 +44,23 @@ def _databases(rows: DataFrame, blob: Column, needles, evidence: Column, base: i
 
 
 def _toml(batches):
-    """Dependencies, scripts and build requirements of pyproject files; a broken one has none."""
+    """Dependencies, scripts and build requirements of pyproject files; what is broken or of another type than it should be has none."""
     import tomllib
 
     import pyarrow as pa
 
     dep = pa.struct([("spec", pa.string()), ("name", pa.string()), ("version", pa.string()), ("source", pa.string()), ("dev", pa.bool_())])
+
+    def of(kind, data, *keys):
+        """The value below these keys, an empty one if it or what is above is of another type."""
+        for k in keys[:-1]:
+            data = data.get(k) if isinstance(data, dict) else None
+        data = data.get(keys[-1]) if isinstance(data, dict) else None
+        return data if isinstance(data, kind) else kind()
+
+    def specs(data, source, dev):
+        return [{"spec": s, "name": None, "version": None, "source": source, "dev": dev} for s in data if isinstance(s, str)] if isinstance(data, list) else []
+
     for batch in batches:
         out = {"repo_id": [], "deps": [], "scripts": [], "requires": []}
         for repo, raw in zip(*(c.to_pylist() for c in batch.columns)):
@@ -57,18 +68,18 @@ def _toml(batches):
                 data = tomllib.loads(raw or "")
             except tomllib.TOMLDecodeError:
                 data = {}
-            project, said = data.get("project", {}), []
-            spec = lambda s, source, dev: {"spec": s, "name": None, "version": None, "source": source, "dev": dev}
-            said += [spec(s, "pyproject.toml [project]", False) for s in project.get("dependencies", [])]
-            said += [spec(s, f"pyproject.toml [optional: {g}]", True) for g, all_ in project.get("optional-dependencies", {}).items() for s in all_]
-            said += [spec(s, f"pyproject.toml [group: {g}]", True) for g, all_ in data.get("dependency-groups", {}).items() for s in all_ if isinstance(s, str)]
-            for name, want in data.get("tool", {}).get("poetry", {}).get("dependencies", {}).items():
+            said = specs(of(list, data, "project", "dependencies"), "pyproject.toml [project]", False)
+            for group, items in of(dict, data, "project", "optional-dependencies").items():
+                said += specs(items, f"pyproject.toml [optional: {group}]", True)
+            for group, items in of(dict, data, "dependency-groups").items():
+                said += specs(items, f"pyproject.toml [group: {group}]", True)
+            for name, want in of(dict, data, "tool", "poetry", "dependencies").items():
                 if name.lower() != "python":
                     said.append({"spec": None, "name": name, "version": want if isinstance(want, str) else None, "source": "pyproject.toml [tool.poetry]", "dev": False})
             out["repo_id"].append(repo)
             out["deps"].append(said)
-            out["scripts"].append([f"{k} = {v}" for k, v in project.get("scripts", {}).items()])
-            out["requires"].append(" ".join(data.get("build-system", {}).get("requires", [])).lower())
+            out["scripts"].append([f"{k} = {v}" for k, v in of(dict, data, "project", "scripts").items()])
+            out["requires"].append(" ".join(x for x in of(list, data, "build-system", "requires") if isinstance(x, str)).lower())
         kinds = [pa.string(), pa.list_(dep), pa.list_(pa.string()), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
 

@@ -1,24 +1,19 @@
-"""Lineage cuts that survive lost executors, and size-checked broadcasts."""
+"""Lineage cuts that survive lost executors."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-#: A side is broadcast only after it was counted and has at most so many rows.
-BROADCAST_ROWS = 200_000
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Written to the shared folder of ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """Written to the shared folder of ``spark.checkpoint.dir``; a temporary folder only where that is unset and the master is this machine."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
-
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint for a checkpointed side that was counted and is small; else the side as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

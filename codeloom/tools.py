@@ -5,15 +5,17 @@ from __future__ import annotations
 import datetime
 import json
 import os
+import uuid
 from functools import cached_property
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dims, sources
+from . import context, dims, sources
 from .functions import paths, text
-from .operators import changes, ecosystems, graph, inventory, modules
+from .operators import changes, ecosystems, graph, inventory, knowledge, modules
 from .plugins import Registry, default_registry
 from .runtime import checkpoint
 from .sources import git, parsers
@@ -99,10 +101,68 @@ class Memory:
     def coverage(self):
         return checkpoint(graph.coverage(self.nodes, self.imports, sorted(self.registry.languages())))
 
+    @cached_property
+    def decisions(self):
+        return checkpoint(knowledge.decisions(self.tree))
+
+    @cached_property
+    def documents(self):
+        return checkpoint(knowledge.documents(self.tree))
+
+    TABLES = ("tree", "files", "module_rows", "ir", "imports", "nodes", "edges", "facts", "dependencies", "entry_points", "summary", "coverage", "decisions", "documents")
+
+    def stamp(self) -> dict[str, str | None]:
+        """The commit of each repository that the tables were built at."""
+        return self.__dict__.setdefault("_stamp", {k: git.head(v) for k, v in self.roots.items()})
+
     def write(self, folder: str) -> None:
-        """Every table as Parquet; imports are kept as parsed, so rows can be reused whatever else changes."""
-        for name in ("files", "module_rows", "ir", "imports", "nodes", "edges", "facts", "dependencies", "entry_points", "summary", "coverage"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+        """Every table as Parquet, into a new folder of its own that the manifest then names; imports are kept as parsed.
+
+        The tree is kept without texts.  The manifest is a one-row table, replaced last,
+        so a reader never meets tables of two builds; the build before is kept.
+        """
+        build = f"{folder}/build-{uuid.uuid4().hex}"
+        for name in self.TABLES:
+            df = getattr(self, name)
+            (df.withColumn("text", F.lit(None).cast("string")) if name == "tree" else df).write.parquet(f"{build}/{name}")
+        rows = [(k, self.roots[k], v, build) for k, v in self.stamp().items()]
+        self.spark.createDataFrame(rows, "repo_id string, root string, built_at_commit string, build string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str, registry: Registry | None = None) -> "Memory | None":
+        """A written memory, its tables read again; None if there is none."""
+        try:
+            rows = spark.read.parquet(f"{folder}/manifest").collect()  # one row a repository
+        except AnalysisException:
+            return None
+        out = cls(spark, {r.repo_id: r.root for r in rows}, registry)
+        out._stamp = {r.repo_id: r.built_at_commit for r in rows}
+        for name in cls.TABLES if rows else ():
+            out.__dict__[name] = spark.read.parquet(f"{rows[0].build}/{name}")
+        return out
+
+    @classmethod
+    def ensure(cls, spark: SparkSession, folder: str, roots, registry: Registry | None = None) -> "Memory":
+        """The written memory, or one that is built and written now."""
+        out = cls.load(spark, folder, registry)
+        if out is None:
+            out = cls(spark, roots, registry)
+            out.write(folder)
+        return out
+
+    def updated(self) -> tuple["Memory", DataFrame | None]:
+        """A memory of the trees as they are now, and the changes (repo_id, path, status) of their source files.
+
+        Files whose size and time are the same keep their parsed rows, everything else
+        is parsed again; imports are resolved anew, so the outcome equals a full build.
+        """
+        now = Memory(self.spark, self.roots, self.registry)
+        source = lambda files: files.where("language is not null")
+        changed = checkpoint(changes.change_set(source(now.files), source(self.files)))
+        kept, again = changes.reuse(source(now.files), changed, self.ir)
+        texts = now.tree.join(again.select("repo_id", "path", "language"), ["repo_id", "path"])
+        now.__dict__["ir"] = checkpoint(kept.unionByName(parsers.parse(texts, now.registry.parsers())))
+        return now, changed
 
 
 def _rows(df: DataFrame) -> list[dict]:
@@ -130,7 +190,9 @@ class Tools:
 
     def get_project_summary(self) -> dict:
         one = _rows(inventory.counts(self.m.tree, self.m.files, self.m.module_rows))
-        return {"name": self.m.repo, "fingerprint": self.get_fingerprint(), "conventions": self.get_conventions(), **(one[0] if one else {})}
+        points = [r["path"] for r in _rows(self.m.entry_points.orderBy("path"))]
+        more = {"dependency_count": self.m.dependencies.count(), "entry_points": points}
+        return {"name": self.m.repo, "fingerprint": self.get_fingerprint(), "conventions": self.get_conventions(), **(one[0] if one else {}), **more}
 
     def get_architecture(self) -> dict:
         layers = _rows(inventory.layers(self.m.module_rows).orderBy(F.desc("file_count"), "name"))
@@ -218,29 +280,62 @@ class Tools:
         return {"target": best[0].path, "found": True, "tests": [{"path": r["test"], "matched_by": r["matched_by"]} for r in _rows(rows)]}
 
     def get_health(self) -> dict:
-        got = _rows(self.m.coverage)
-        return (got[0] if got else {"confidence": "unknown"}) | {"current_commit": git.head(self.root)}
+        got, by = _rows(self.m.coverage), checkpoint(knowledge.language_coverage(self.m.files, sorted(self.m.registry.languages())))
+        told = _rows(knowledge.warnings(self.m.coverage, by))
+        rest = {"languages": _rows(by.orderBy(F.desc("graphed"), F.desc("files"), "language")), "warnings": told[0]["warnings"] if told else []}
+        built, current = self.m.stamp().get(self.m.repo), git.head(self.root)
+        fresh = knowledge.staleness(built, current, git.changed_since(self.root, built) if built and current else None)
+        return (got[0] if got else {"confidence": "unknown"}) | rest | {"current_commit": current, "staleness": fresh}
+
+    def get_knowledge(self) -> dict:
+        """Decisions found and recorded (of one id the first), patterns, history, documents, notes."""
+        found = [{k: v for k, v in r.items() if k != "ordinal"} for r in _rows(self.m.decisions.orderBy("ordinal"))]
+        found = list({d["id"]: d for d in reversed([*found, *self._read("decisions")])}.values())[::-1]
+        docs = [{k: v for k, v in r.items() if k != "ordinal"} for r in _rows(self.m.documents.orderBy("ordinal"))]
+        history = self.get_history()
+        return {"decisions": found, "patterns": knowledge.patterns(self.get_conventions(), self.get_fingerprint().get("architecture")), "history": history, "docs": docs, "notes": self.notes()}
+
+    def get_context(self) -> dict:
+        names = [r["name"] for r in _rows(inventory.top_dependencies(self.m.dependencies).orderBy("rank"))]
+        return context.pack(self.get_project_summary(), self.get_architecture(), self.get_conventions(), self.get_knowledge(), names, self.get_health())
+
+    def benchmark(self) -> dict:
+        """Tokens of the sources against those of the context pack."""
+        sizes = self.m.files.where("language is not null").agg(F.count("*").alias("files"), F.coalesce(F.sum("loc"), F.lit(0)).alias("loc"), F.coalesce(F.sum("size"), F.lit(0)).alias("chars")).first()
+        raw, own = -(-sizes.chars // dims.CHARS_PER_TOKEN), context.tokens(context.markdown(self.get_context()))
+        return {"name": self.m.repo, "files": sizes.files, "loc": sizes["loc"], "raw_tokens": raw, "pack_tokens": own, "ratio": round(raw / own, 1) if own else 0.0}
 
     # ---- notes: an append-only file of JSON lines in the repository's memory folder
 
-    @property
-    def _notes(self) -> Path:
-        return Path(self.root) / dims.MEMORY_DIR / "notes.jsonl"
-
-    def notes(self) -> list[dict]:
-        return [json.loads(x) for x in self._notes.read_text("utf-8").splitlines()] if self._notes.exists() else []
+    def _read(self, kind: str) -> list[dict]:
+        path = Path(self.root) / dims.MEMORY_DIR / f"{kind}.jsonl"
+        return [json.loads(x) for x in path.read_text("utf-8").splitlines() if x.strip()] if path.exists() else []
 
-    def record_note(self, note: str, scope: str | None = None, source: str = "agent") -> dict:
-        base = "".join(c if c.isascii() and c.isalnum() else "-" for c in note.lower())
-        base = "-".join(x for x in base.split("-") if x)[:40] or "note"
-        used, n, name = {x["id"] for x in self.notes()}, 2, base
+    def _append(self, kind: str, title: str, default: str, most: int | None, used, row: dict) -> dict:
+        """The row with an id made from its title that no other row has."""
+        base = "".join(c if c.isascii() and c.isalnum() else "-" for c in title.lower())
+        base = "-".join(x for x in base.split("-") if x)[:most] or default
+        n, name = 2, base
         while name in used:
             name, n = f"{base}-{n}", n + 1
-        row = {"id": name, "text": note, "scope": scope, "created": datetime.date.today().isoformat(), "source": source}
-        os.makedirs(self._notes.parent, exist_ok=True)
-        with self._notes.open("a", encoding="utf-8") as f:
+        row = {"id": name} | row
+        folder = Path(self.root) / dims.MEMORY_DIR
+        os.makedirs(folder, exist_ok=True)
+        with (folder / f"{kind}.jsonl").open("a", encoding="utf-8") as f:
             f.write(json.dumps(row) + "\n")
-        return {"recorded": True, "note": row}
+        return row
+
+    def notes(self) -> list[dict]:
+        return self._read("notes")
+
+    def record_note(self, text: str, scope: str | None = None, source: str = "agent") -> dict:
+        row = {"text": text, "scope": scope, "created": datetime.date.today().isoformat(), "source": source}
+        return {"recorded": True, "note": self._append("notes", text, "note", 40, {x["id"] for x in self.notes()}, row)}
+
+    def record_decision(self, title: str, status: str = "accepted", rationale: str | None = None, context: str | None = None, date: str | None = None) -> dict:
+        used = {r["id"] for r in _rows(self.m.decisions)} | {x["id"] for x in self._read("decisions")}
+        row = {"title": title, "status": status, "date": date or datetime.date.today().isoformat(), "context": context, "rationale": rationale, "source": "manual"}
+        return self._append("decisions", title, "decision", None, used, row)
 
     def notes_for(self, scope: str) -> list[dict]:
         return [x for x in self.notes() if x["scope"] and (scope == x["scope"] or scope.startswith(x["scope"] + "/"))]
