@@ -9,13 +9,16 @@ step over that mean gives the score.
 
 The field is fitted on a bounded sample of labelled rows outside fold 0 (at most
 ``FIT_ROWS`` documents and ``FIT_LINES`` lines), each line carrying its document's
-label, by gradient ascent on the conditional likelihood.  Only the sample's line
-features come to the driver.  All documents are scored in one map, no shuffle.
+label, by gradient ascent on the conditional likelihood.  Documents are taken in
+the order of a hash until the lines are used up; a text of more than FIT_LINES // 10
+lines is scored, but not sampled.  Only the chosen rows' line features come to the driver.  All documents are scored in one map, no shuffle.
 
 Defined results: a null or empty text is one empty line; rows are scored each by
 itself, repeats included; a null doc_id is not held out; labels that are null or of
 unknown documents are ignored, and with fewer than two classes the score is a
-constant (the label's share, or 0.5); an empty table gives no rows.
+constant (the label's share, or 0.5); an empty table gives no rows; very long texts
+are scored whole; equal texts have equal scores; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -203,10 +206,10 @@ def _sampled(batches):
 
 
 def _budget(rows, most):
-    """The rows (h, id, y, lines, x) in the order of h until the lines are used up, then by id."""
+    """The rows (h, id, lines, ...) in the order of h until the lines are used up, without h, by id."""
     kept, n = [], 0
     for r in sorted(rows):
-        n += r[3]
+        n += r[2]
         if n > most:
             break
         kept.append(r[1:])
@@ -214,12 +217,15 @@ def _budget(rows, most):
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Field:
-    sample = checkpoint(labelled(labels, label, folds=FOLDS, most=FIT_ROWS))
+    spark, sample = docs.sparkSession, checkpoint(labelled(labels, label, folds=FOLDS, most=FIT_ROWS))
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(sample), "id").select("id", "y", "text")
     size = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
-    rows = rows.where(size <= FIT_LINES // 10)  # so that no single text fills the sample
-    got = rows.mapInArrow(_sampled, "id long, y int, lines long, x binary").withColumn("h", F.xxhash64("id")).collect()
-    kept = _budget([(r.h, r.id, r.y, r.lines, bytes(r.x)) for r in got], FIT_LINES)
+    told = rows.select(F.xxhash64("id").alias("h"), "id", size.cast("long").alias("n")).where(F.col("n") <= FIT_LINES // 10)
+    first = told.groupBy("id").agg(F.min("h").alias("h"), F.sum("n").alias("n"))  # FIT_ROWS rows of three numbers at most
+    chosen = _budget([(r.h, r.id, r.n) for r in first.collect()], FIT_LINES)
+    ids = spark.createDataFrame([(i,) for i, _ in chosen], "id long")
+    kept = rows.where(size <= FIT_LINES // 10).join(F.broadcast(ids), "id").mapInArrow(_sampled, "id long, y int, lines long, x binary")
+    kept = sorted((r.id, r.y, r.lines, bytes(r.x)) for r in kept.collect())  # FIT_LINES lines at most
     y = np.array([r[1] for r in kept], int)
     if len(set(y.tolist())) < 2:
         out = Field([])
