@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -66,26 +66,23 @@ def resolve_imports(ir: DataFrame, files: DataFrame, packages: DataFrame) -> Dat
 
 
 def elements(ir: DataFrame) -> DataFrame:
-    """Functions, classes and methods, one row for each occurrence: node columns, owner id, bare name, is_top, calls, bases, interfaces."""
-    none = F.lit(None).cast("array<string>")
-    owner = node_id("file", F.col("path"))
-    functions = ir.select("repo_id", "path", "language", F.posexplode("functions").alias("o", "f")).select(
-        "repo_id", node_id("function", F.col("path"), F.col("f.name")).alias("id"), F.lit("function").alias("kind"), F.col("f.name").alias("name"), "path", F.col("f.line").alias("line"), "language",
-        owner.alias("owner"), F.col("f.name").alias("bare"), F.lit(True).alias("is_top"), F.col("f.calls").alias("calls"), none.alias("bases"), none.alias("interfaces"), F.col("o").alias("ord"),
-    )
-    classes = ir.select("repo_id", "path", "language", F.posexplode("classes").alias("o", "c"))
-    named = classes.select(
-        "repo_id", node_id("class", F.col("path"), F.col("c.name")).alias("id"), F.lit("class").alias("kind"), F.col("c.name").alias("name"), "path", F.col("c.line").alias("line"), "language",
-        owner.alias("owner"), F.col("c.name").alias("bare"), F.lit(True).alias("is_top"), none.alias("calls"), F.col("c.bases").alias("bases"), F.col("c.interfaces").alias("interfaces"), F.col("o").alias("ord"),
-    )
-    methods = classes.select("repo_id", "path", "language", "c.name", "o", F.posexplode("c.methods").alias("p", "m"))
-    full = F.concat_ws(".", "name", "m.name")
-    methods = methods.select(
-        "repo_id", node_id("function", F.col("path"), full).alias("id"), F.lit("function").alias("kind"), full.alias("name2"), "path", F.col("m.line").alias("line"), "language",
-        node_id("class", F.col("path"), F.col("name")).alias("owner"), F.col("m.name").alias("bare"), F.lit(False).alias("is_top"), F.col("m.calls").alias("calls"), none.alias("bases"), none.alias("interfaces"),
-        (F.col("o") * 100_000 + F.col("p")).alias("ord"),
-    ).withColumnRenamed("name2", "name")
-    return functions.unionByName(named).unionByName(methods)
+    """Functions, classes and methods, one row for each occurrence: node columns, owner id, bare name, is_top, calls, bases, interfaces.
+
+    A file's elements are one array of structs, so that its row is read and exploded once.
+    """
+    none, p = F.lit(None).cast("array<string>"), F.col("path")
+
+    def one(kind, name, x, owner, bare, top, ord_, calls=none, bases=none, interfaces=none):
+        kinds = (("kind", F.lit(kind)), ("name", name), ("line", x["line"]), ("owner", owner), ("bare", bare), ("is_top", F.lit(top)), ("calls", calls), ("bases", bases), ("interfaces", interfaces), ("ord", ord_.cast("long")))
+        return F.struct(*(c.alias(n) for n, c in kinds))
+
+    in_file = node_id("file", p)
+    functions = F.transform("functions", lambda f, o: one("function", f["name"], f, in_file, f["name"], True, o, f["calls"]))
+    classes = F.transform("classes", lambda c, o: one("class", c["name"], c, in_file, c["name"], True, o, none, c["bases"], c["interfaces"]))
+    full = lambda c, m: F.concat_ws(".", c["name"], m["name"])
+    methods = F.flatten(F.transform("classes", lambda c, o: F.transform(c["methods"], lambda m, i: one("function", full(c, m), m, node_id("class", p, c["name"]), m["name"], False, o * 100_000 + i, m["calls"]))))
+    rows = ir.select("repo_id", "path", "language", F.explode(F.concat(functions, classes, methods)).alias("e")).select("repo_id", "path", "language", "e.*")
+    return rows.select("repo_id", node_id(F.col("kind"), p, F.col("name")).alias("id"), "kind", "name", "path", "line", "language", "owner", "bare", "is_top", "calls", "bases", "interfaces", "ord")
 
 
 def nodes(files: DataFrame, modules: DataFrame, elements: DataFrame) -> DataFrame:
@@ -112,32 +109,32 @@ def inheritance(elements: DataFrame) -> DataFrame:
 
 
 def calls(elements: DataFrame) -> DataFrame:
-    """calls edges: to the top-level function that alone has the called name."""
+    """calls edges: to the top-level function that alone has the called name; names are met before rows are made distinct."""
     once = elements.where("kind = 'function' and is_top").groupBy("repo_id", F.col("name").alias("callee")).agg(F.count("*").alias("n"), F.min("id").alias("target")).where("n = 1")
-    said = elements.where("kind = 'function'").select("repo_id", F.col("id").alias("source"), F.explode("calls").alias("callee")).distinct()
-    return said.join(once, ["repo_id", "callee"]).where("source <> target").select("repo_id", "source", "target", F.lit("calls").alias("kind"))
+    said = elements.where("kind = 'function'").select("repo_id", F.col("id").alias("source"), F.explode(F.array_distinct("calls")).alias("callee"))
+    met = said.join(once.select("repo_id", "callee", "target"), ["repo_id", "callee"]).where("source <> target")
+    return met.select("repo_id", "source", "target", F.lit("calls").alias("kind")).distinct()
 
 
 def edges(files: DataFrame, elements: DataFrame, imports: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All edges whose two ends are nodes, each once."""
+    """All edges whose two ends are nodes, each once.
+
+    The ends of calls and inheritance are elements, so they are nodes and distinct by
+    construction; what files and imports tell is held against the nodes.
+    """
     p = F.col("path")
     held = files.where("language is not null").select("repo_id", node_id("module", paths.parent_dir(p)).alias("source"), node_id("file", p).alias("target"), F.lit("contains").alias("kind"))
     code = elements.select("repo_id", F.col("owner").alias("source"), F.col("id").alias("target"), F.lit("contains").alias("kind"))
     imp = imports.select("repo_id", node_id("file", p).alias("source"), node_id("file", F.col("target")).alias("target"), F.lit("imports").alias("kind"))
-    every = held.unionByName(code).unionByName(imp).unionByName(inheritance(elements)).unionByName(calls(elements)).distinct()
     ids = nodes.select("repo_id", "id")
-    return every.join(ids.withColumnRenamed("id", "source"), ["repo_id", "source"], "left_semi").join(ids.withColumnRenamed("id", "target"), ["repo_id", "target"], "left_semi").select("repo_id", "source", "target", "kind")
+    told = held.unionByName(code).unionByName(imp).distinct()
+    told = told.join(ids.withColumnRenamed("id", "source"), ["repo_id", "source"], "left_semi").join(ids.withColumnRenamed("id", "target"), ["repo_id", "target"], "left_semi")
+    return told.select("repo_id", "source", "target", "kind").unionByName(inheritance(elements)).unionByName(calls(elements))
 
 
 # ---- lookups ---------------------------------------------------------------------
 
 
-def imports_of(edges: DataFrame) -> DataFrame:
-    """(repo_id, path, target) of the imports edges, as paths."""
-    cut = lambda c: F.substring(F.col(c), F.lit(len("file:") + 1), F.length(c))
-    return edges.where("kind = 'imports'").select("repo_id", cut("source").alias("path"), cut("target").alias("target"))
-
-
 def in_degree(imports: DataFrame) -> DataFrame:
     return imports.groupBy("repo_id", F.col("target").alias("path")).agg(F.count("*").alias("imported_by"))
 
@@ -160,18 +157,25 @@ def reach(imports: DataFrame, seeds: DataFrame) -> DataFrame:
     """(repo_id, root, path): all files that import a seed, directly or not.
 
     ``seeds``: (repo_id, root, path).  Every level is one join of the frontier with the
-    imports, less what is known; a seed is in its own set only if it lies on a cycle.
-    Levels are checkpointed, so lineage and recomputation stay short.
+    imports, less the levels before; a seed is in its own set only if it lies on a cycle.
+    Files and roots are numbered first, so a level moves pairs of numbers; each level
+    is checkpointed once and never written again.
     """
-    back = checkpoint(imports.select("repo_id", F.col("target").alias("at"), F.col("path").alias("next")).distinct())
-    front, seen = seeds.select("repo_id", "root", "path").distinct(), None
+    edges = imports.select("repo_id", "target", "path").distinct()
+    ends = edges.select("repo_id", F.explode(F.array("target", "path")).alias("path")).unionByName(seeds.select("repo_id", "path"))
+    names = checkpoint(ends.distinct().withColumn("n", F.monotonically_increasing_id()))
+    roots = checkpoint(seeds.select("repo_id", "root").distinct().withColumn("r", F.monotonically_increasing_id()))
+    back = edges.join(names.select("repo_id", F.col("path").alias("target"), F.col("n").alias("at")), ["repo_id", "target"])
+    back = checkpoint(back.join(names.select("repo_id", "path", F.col("n").alias("next")), ["repo_id", "path"]).select("at", "next"))
+    front, seen = seeds.join(names, ["repo_id", "path"]).join(roots, ["repo_id", "root"]).select("r", F.col("n").alias("at")).distinct(), None
     while True:
-        step = front.withColumnRenamed("path", "at").join(back, ["repo_id", "at"]).select("repo_id", "root", F.col("next").alias("path")).distinct()
-        step = checkpoint(step if seen is None else step.join(seen, ["repo_id", "root", "path"], "left_anti"))
-        if step.isEmpty():
-            return step if seen is None else seen
-        front = step
-        seen = step if seen is None else checkpoint(seen.unionByName(step))
+        step = front.join(back, "at").select("r", F.col("next").alias("at")).distinct()
+        front = checkpoint(step if seen is None else step.join(seen, ["r", "at"], "left_anti"))
+        if front.isEmpty():
+            break
+        seen = front if seen is None else seen.unionByName(front)
+    seen = front if seen is None else seen
+    return seen.withColumnRenamed("at", "n").join(names, "n").join(roots.drop("repo_id"), "r").select("repo_id", "root", "path")
 
 
 def impact(imports: DataFrame, targets: DataFrame) -> DataFrame:
@@ -205,7 +209,10 @@ def symbols(nodes: DataFrame, edges: DataFrame, names: DataFrame) -> DataFrame:
     used = edges.where("kind in ('calls', 'extends', 'implements')").select("repo_id", F.col("target").alias("id"), F.col("source").alias("other"), F.col("kind").alias("via"))
     far = nodes.select("repo_id", F.col("id").alias("other"), F.col("name").alias("o_name"), F.col("path").alias("o_path"), F.col("line").alias("o_line"))
     one = F.struct(F.coalesce("o_path", F.lit("")).alias("path"), F.coalesce("o_line", F.lit(0)).alias("line"), F.col("o_name").alias("name"), "via")
-    users = used.join(far, ["repo_id", "other"]).groupBy("repo_id", "id").agg(F.count("*").alias("reference_count"), F.slice(F.sort_array(F.collect_list(one)), 1, dims.REFERENCE_LIMIT).alias("referenced_by"))
+    met = used.join(found.select("repo_id", "id").distinct(), ["repo_id", "id"], "left_semi").join(far, ["repo_id", "other"]).select("repo_id", "id", one.alias("user"))
+    count = met.groupBy("repo_id", "id").agg(F.count("*").alias("reference_count"))
+    first = met.withColumn("rank", F.row_number().over(Window.partitionBy("repo_id", "id").orderBy("user"))).where(F.col("rank") <= dims.REFERENCE_LIMIT)
+    users = count.join(first.groupBy("repo_id", "id").agg(F.sort_array(F.collect_list("user")).alias("referenced_by")), ["repo_id", "id"])
     out = found.join(users, ["repo_id", "id"], "left")
     return out.select("repo_id", "symbol", "name", "kind", "path", "line", "language", paths.parent_dir(F.col("path")).alias("module"), F.coalesce("reference_count", F.lit(0)).cast("long").alias("reference_count"), "referenced_by")
 
