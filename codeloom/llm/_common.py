@@ -121,3 +121,23 @@ def free(columns, *names: str) -> list[str]:
         taken.add(n.lower())
         out.append(n)
     return out
+
+
+#: A key is hot from this share of all rows on, so at most as many keys are.
+HOT_SHARE = 1000
+
+
+def join_sized(left: DataFrame, right: DataFrame, sizes: DataFrame, key: str, by: str) -> DataFrame:
+    """Each row of ``left`` with that of ``right``, which has one row for every key; ``sizes`` (key, m) counts the left rows of each.
+
+    Keys that hold one row in HOT_SHARE or more, at most HOT_SHARE of them, meet by a
+    broadcast, and their rows are dealt over the tasks by ``by``; all others meet by an
+    ordinary join.
+    """
+    least = (sizes.agg(F.sum("m")).first()[0] or 0) / HOT_SHARE
+    values = [c for c in right.columns if c != key]
+    hot = F.broadcast(sizes.where(F.col("m") >= F.lit(least)).select(key))
+    top = F.broadcast(right.join(hot, key, "left_semi").select(key, F.struct(*values).alias("_top")))
+    salt = F.when(F.col("_top").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(by), F.lit(HOT_SHARE))).cast("int")
+    met = left.join(top, key, "left").withColumn("_salt", salt).join(right.withColumn("_salt", F.lit(0)), [key, "_salt"], "left")
+    return met.select(*left.columns, *(F.coalesce(F.col("_top")[v], F.col(v)).alias(v) for v in values))

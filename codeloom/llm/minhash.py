@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch, checkpoint, components, free, table
+from ._common import Scratch, checkpoint, components, join_sized, free, table
 from ._tokens import Tokenizer, mix, pieces, shingles
 
 COORDS, MATCHES = 64, 38
@@ -356,17 +356,19 @@ def merge(postings: DataFrame, low: DataFrame, comp: DataFrame, docs: DataFrame,
     rows = scratch.keep(rows.join(mixed, "key"))
     bundles = checkpoint(components(rows.select("head", "id").distinct(), "head", "id").withColumnRenamed("component", "bundle"))
     apart = rows.groupBy("key").agg(F.min("head").alias("id"), F.min("m").alias("m")).join(bundles, "id").groupBy("bundle").agg(F.sum(_cost("m")).alias("apart"))
-    whole = bundles.groupBy("bundle").agg(F.count("*").alias("m")).join(apart, "bundle").select("bundle", (_cost("m") <= F.col("apart")).alias("whole"))
+    sizes = checkpoint(bundles.groupBy("bundle").agg(F.count("*").alias("m")))
+    whole = checkpoint(sizes.join(apart, "bundle").select("bundle", (_cost("m") <= F.col("apart")).alias("whole")))
+    placed = join_sized(bundles, whole, sizes, "bundle", "id")
     group = F.when(F.col("whole"), F.xxhash64("bundle", F.lit(1))).otherwise(F.xxhash64("key", F.lit(0)))
-    members = rows.join(bundles, "id").join(whole, "bundle").select(group.alias("group"), "id", "comp").distinct()
+    members = rows.join(placed, "id").select(group.alias("group"), "id", "comp").distinct()
     members = scratch.keep(members.join(low.groupBy("id").agg(F.max("n").alias("n")), "id"))
     per = members.groupBy("group", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("n")).groupBy("group")
     per = per.agg(F.max(F.struct("m", "comp", "n")).alias("top"), F.sum("m").alias("m"), F.sum("n").alias("n"))
     blocks = lambda m, n: F.greatest(F.ceil(m / BLOCK), F.ceil(n / SHINGLES)).cast("int")
-    per = per.select("group", F.col("top.comp").alias("most"), blocks(F.col("top.m"), F.col("top.n")).alias("inner"), blocks(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n")).alias("outer"))
+    per = checkpoint(per.select("group", "m", F.col("top.comp").alias("most"), blocks(F.col("top.m"), F.col("top.n")).alias("inner"), blocks(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n")).alias("outer")))
     within = F.col("comp") == F.col("most")
     blk = F.pmod(F.xxhash64("id"), F.when(within, F.col("inner")).otherwise(F.col("outer"))) + F.when(within, 0).otherwise(F.col("inner"))
-    sent = members.join(per, "group").withColumn("blk", blk.cast("int"))
+    sent = join_sized(members, per.drop("m"), per.select("group", "m"), "group", "id").withColumn("blk", blk.cast("int"))
     sent = sent.withColumn("other", F.explode(F.sequence(F.when(within, F.col("inner")).otherwise(0), F.col("inner") + F.col("outer") - 1)))
     g = F.xxhash64("group", F.least("blk", "other"), F.greatest("blk", "other"))
     sent = sent.select(g.alias("g"), "id", "comp", "blk", (F.col("other") != F.col("blk")).cast("int").alias("two")).join(low.select("id", "sign"), "id")
@@ -410,9 +412,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     node = checkpoint(components(links.unionByName(found)))
 
     # A class belongs to the component of its smallest id.
-    per_class = full.groupBy("digest").agg(F.min("id").alias("rep"))
-    per_class = per_class.join(node.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    out = full.join(per_class, "digest").select("id", "n_shingles", "component_id")
+    per_class = checkpoint(full.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("m")))
+    named = per_class.join(node.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    out = join_sized(full, named, per_class, "digest", "id").select("id", "n_shingles", "component_id")
     rest = own.where("digest is null or id is null").select("id", "n_shingles", F.col("id").alias("component_id"))
     out = scratch.keep(out.unionByName(rest))
     scratch.drop(own, postings, low)
