@@ -173,13 +173,28 @@ def layers(spark, d):
 _PAGE = "regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')"
 
 
-@query(rf"""WITH p AS (SELECT page_id, {_PAGE} || CASE page_id % 8 WHEN 0 THEN '/build/x.py' WHEN 1 THEN '/.env.local' WHEN 2 THEN '/.env.example' WHEN 3 THEN '/setup.cfg' WHEN 4 THEN '/tests/a.py' WHEN 5 THEN '/b_test.go' WHEN 6 THEN '/server.key' ELSE '/' || page_id || '.ini' END AS path FROM pages)
-SELECT page_id, path, list_contains(string_split(path, '/'), 'build') AS is_ignored, (page_id % 8 IN (1, 6)) AS is_sensitive, (page_id % 8 IN (2, 3)) AS is_config, (page_id % 8 IN (4, 5)) AS is_test, (page_id % 8 = 4) AS in_tests,
-  CASE page_id % 8 WHEN 0 THEN 'Python' WHEN 4 THEN 'Python' WHEN 5 THEN 'Go' END AS language, (length(path) - length(replace(path, '/', '')))::BIGINT AS depth FROM p""")
+#: (end of a path, ignored, secret, configuration, test, has a test directory's name, language), told by hand.
+_TAILS = (
+    ("/build/x.py", True, False, False, False, False, "Python"), ("/.env.local", False, True, False, False, False, None),
+    ("/.env.example", False, False, True, False, False, None), ("/setup.cfg", False, False, True, False, False, None),
+    ("/tests/a.py", False, False, False, True, True, "Python"), ("/b_test.go", False, False, False, True, False, "Go"),
+    ("/server.key", False, True, False, False, False, None), ("/plain.ini", False, False, False, False, False, None),
+    ("/node_modules/a.tsx", True, False, False, False, False, "TypeScript"), ("/credentials.json", False, True, False, False, False, None),
+    ("/api_pb2.py", False, False, False, False, False, None), ("/a.g.dart", False, False, False, False, False, None),
+    ("/Test_Case.PY", False, False, False, True, False, "Python"), ("/spec/x.spec.ts", False, False, False, True, True, "TypeScript"),
+    ("/Dockerfile", False, False, True, False, False, None), ("/pkg/vendor/lib.rs", True, False, False, False, False, "Rust"),
+    ("/a.mocks.dart", False, False, False, True, False, None), ("/ID_RSA", False, True, False, False, False, None),
+    ("/.env.test", False, False, False, False, False, None), ("/tests", False, False, False, False, True, None),
+    ("/contest.go", False, False, False, False, False, "Go"), ("/a/Tests/b.kt", False, False, False, False, False, "Kotlin"),
+    ("/poetry.lock", False, False, True, False, False, None),
+)
+_TAIL_ROWS = ", ".join(f"({k}, " + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x) for x in t) + ")" for k, t in enumerate(_TAILS))
+
+
+@query(rf"""SELECT page_id, {_PAGE} || tail AS path, is_ignored, is_sensitive, is_config, is_test, in_tests, language, (length({_PAGE} || tail) - length(replace({_PAGE} || tail, '/', '')))::BIGINT AS depth
+FROM pages JOIN (VALUES {_TAIL_ROWS}) t(k, tail, is_ignored, is_sensitive, is_config, is_test, in_tests, language) ON k = page_id % {len(_TAILS)}""")
 def path_predicates(spark, d):
-    i = F.col("page_id")
-    tails = ("/build/x.py", "/.env.local", "/.env.example", "/setup.cfg", "/tests/a.py", "/b_test.go", "/server.key")
-    tail = F.coalesce(*(F.when(i % 8 == k, F.lit(t)) for k, t in enumerate(tails)), F.concat(F.lit("/"), i.cast("string"), F.lit(".ini")))
+    tail = F.get(F.array(*(F.lit(t[0]) for t in _TAILS)), (F.col("page_id") % len(_TAILS)).cast("int"))
     bare = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
     p = F.col("path")
     rows = _read(spark, d, "pages").select("page_id", F.concat(bare, tail).alias("path"))
@@ -359,16 +374,32 @@ def symbol_naming(spark, d):
     return rows.select("language", "snake_case", F.col("camelCase").alias("camel"), F.col("PascalCase").alias("pascal"), "symbols", "dominant")
 
 
-@query(_sql(V, "SELECT count(*)::BIGINT AS snake_case, 'snake_case' AS file_naming FROM vf WHERE language IS NOT NULL"))
+_NAMED = "CASE WHEN p_partkey % 6 < 4 AND p_size % 4 > 0 THEN p_partkey % 6 ELSE p_size % 4 END"
+
+
+@query(f"""WITH f AS (SELECT 'r' || (p_partkey % 6) AS repo_id, {_NAMED} AS s FROM part WHERE p_size % 7 <> 0),
+c AS (SELECT repo_id, count(*) FILTER (s = 0) AS a, count(*) FILTER (s = 1) AS b, count(*) FILTER (s = 2) AS c, count(*) FILTER (s = 3) AS o FROM f GROUP BY 1)
+SELECT repo_id, a::BIGINT AS snake, b::BIGINT AS kebab, c::BIGINT AS camel, o::BIGINT AS other, CASE WHEN o > greatest(a, b, c) OR greatest(a, b, c, o) / (a + b + c + o) < 0.6 THEN 'mixed'
+  WHEN a = greatest(a, b, c, o) THEN 'snake_case' WHEN b = greatest(a, b, c, o) THEN 'kebab-case' ELSE 'camelCase' END AS file_naming FROM c""")
 def file_naming(spark, d):
-    return inventory.file_naming(Repo(spark, d).slim).select("snake_case", "file_naming")
+    """Six repositories of files named after parts: each of the first four has mostly one style, the others all of them; some files are no source."""
+    stems = F.array(*(F.concat(F.lit(x), F.col("p_partkey").cast("string")) for x in ("load_p", "load-p", "loadP", "Load-P")))
+    path = F.concat(F.lit("lib/"), F.get(stems, F.expr(_NAMED).cast("int")), F.when(F.col("p_size") % 7 == 0, ".txt").otherwise(".py"))
+    files = _read(spark, d, "part").select(F.concat(F.lit("r"), (F.col("p_partkey") % 6).cast("string")).alias("repo_id"), path.alias("path"))
+    rows = inventory.file_naming(files.withColumn("language", paths.language(F.col("path"))))
+    return rows.select("repo_id", F.col("snake_case").alias("snake"), F.col("`kebab-case`").alias("kebab"), F.col("camelCase").alias("camel"), "other", "file_naming")
 
 
-@query(_sql(V, "SELECT count(*) FILTER (is_test AND NOT path LIKE '%.swift')::BIGINT AS test_count, 'unittest' AS framework FROM vf"))
+@query(_sql(V, """, t AS (SELECT doc_id % 5 AS r, path, is_test AND NOT path LIKE '%.swift' AS hit, CASE WHEN doc_id % 5 IN (1, 2) AND doc_id % 3 = 0 THEN module || '/tests' END AS dir FROM vf WHERE NOT (doc_id % 5 = 4 AND path LIKE '%.py'))
+SELECT 'r' || r AS repo_id, CASE WHEN r = 0 THEN 'pytest' WHEN r = 1 THEN 'flutter_test' WHEN bool_or(hit AND path LIKE '%.py') THEN 'unittest' END AS framework, min(dir) AS test_dir, count(*) FILTER (hit)::BIGINT AS test_count FROM t GROUP BY r"""))
 def testing_convention(spark, d):
-    r = Repo(spark, d)
-    none = spark.createDataFrame([], "repo_id string, name string")
-    return inventory.testing(r.slim, r.slim.select("repo_id", "path").limit(0), none).select("test_count", "framework")
+    """Five repositories: a framework by dependencies (two), by Python test files or none; test directories in two."""
+    i, p = F.col("doc_id"), F.col("path")
+    docs = Repo(spark, d).docs.select(F.concat(F.lit("r"), (i % 5).cast("string")).alias("repo_id"), "doc_id", "path").where(~((i % 5 == 4) & F.endswith(p, F.lit(".py"))))
+    below = F.when((i % 5).isin(1, 2) & (i % 3 == 0), "/tests").otherwise("/main")
+    directories = docs.select("repo_id", F.concat(paths.parent_dir(p), below).alias("path")).distinct()
+    name = F.when(i % 5 == 0, "PyTest").when(i % 5 == 1, "flutter_test").otherwise("pytest-cov")
+    return inventory.testing(docs, directories, docs.select("repo_id", name.alias("name")).distinct())
 
 
 # ---- history, changes, notes, texts --------------------------------------------------------
@@ -376,17 +407,20 @@ def testing_convention(spark, d):
 
 def _commits(spark, d):
     o = _read(spark, d, "orders")
-    oldest = F.lit(1).cast("boolean")
-    return o.select(F.concat(F.lit("r"), (F.col("o_custkey") % 10).cast("string")).alias("repo_id"), F.col("o_orderkey").cast("string").alias("sha"), F.col("o_custkey").cast("string").alias("author"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("author_date"), F.col("o_orderpriority").alias("subject"), oldest.alias("is_root"), (-F.col("o_orderkey")).alias("ordinal"))
+    root = F.col("o_orderkey") % 7 == 0
+    return o.select(F.concat(F.lit("r"), (F.col("o_custkey") % 10).cast("string")).alias("repo_id"), F.col("o_orderkey").cast("string").alias("sha"), F.col("o_custkey").cast("string").alias("author"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("author_date"), F.col("o_orderpriority").alias("subject"), root.alias("is_root"), (-F.col("o_orderkey")).alias("ordinal"))
 
 
-_CO = "co AS (SELECT 'r' || (o_custkey % 10) AS repo_id, o_orderkey, o_custkey::VARCHAR AS author, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders)"
+_CO = "co AS (SELECT 'r' || (o_custkey % 10) AS repo_id, o_orderkey, o_custkey::VARCHAR AS author, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority AS subject FROM orders)"
 
 
-@query(f"WITH {_CO} SELECT repo_id, count(*)::BIGINT AS total_commits, arg_max(day, o_orderkey) AS last_commit_date, arg_max(day, o_orderkey) AS first_commit_date, count(DISTINCT author)::BIGINT AS contributor_count FROM co GROUP BY 1")
+@query(f"""WITH {_CO}, re AS (SELECT repo_id, subject, row_number() OVER (PARTITION BY repo_id ORDER BY o_orderkey DESC) AS n FROM co)
+SELECT repo_id, total_commits, last_commit_date, first_commit_date, contributor_count, recent_commits FROM (SELECT repo_id, count(*)::BIGINT AS total_commits, arg_max(day, o_orderkey) AS last_commit_date,
+  arg_max(day, o_orderkey) FILTER (o_orderkey % 7 = 0) AS first_commit_date, count(DISTINCT author)::BIGINT AS contributor_count FROM co GROUP BY 1)
+JOIN (SELECT repo_id, string_agg(subject, '|' ORDER BY n) AS recent_commits FROM re WHERE n <= 20 GROUP BY 1) USING (repo_id)""")
 def git_history(spark, d):
-    """All orders are commits and, having no parents, roots: the first listed root is the latest."""
-    return changes.history(_commits(spark, d)).drop("recent_commits")
+    """Every seventh order is a root: the first date is that of the root that is listed first."""
+    return changes.history(_commits(spark, d)).withColumn("recent_commits", F.array_join("recent_commits", "|"))
 
 
 @query(f"WITH {_CO} SELECT * FROM (SELECT repo_id, author AS name, count(*)::BIGINT AS commits, row_number() OVER (PARTITION BY repo_id ORDER BY count(*) DESC, author)::BIGINT AS rank FROM co GROUP BY 1, 2) WHERE rank <= 5")
