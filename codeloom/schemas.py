@@ -9,6 +9,6 @@ IR = f"repo_id string, path string, language string, imports array<struct<kind:s
 NODES = "repo_id string, id string, kind string, name string, path string, line int, language string"
 EDGES = "repo_id string, source string, target string, kind string"
 DEPENDENCIES = "repo_id string, name string, version string, source string, dev boolean, ordinal int"
-COMMITS = "repo_id string, sha string, author string, author_date string, subject string, is_root boolean, ordinal long"
-COMMIT_FILES = "repo_id string, sha string, path string"
+COMMITS = "repo_id string, sha string, author string, author_date string, subject string, is_root boolean, ordinal long, error string"
+COMMIT_FILES = "repo_id string, sha string, path string, error string"
 NOTES = "repo_id string, id string, text string, scope string, created string, source string"

@@ -1,6 +1,8 @@
-"""The "gitlog" source: commits or commit files of repositories, one partition each, by the git command.
+"""The "gitlog" source: commits or commit files of repositories as Arrow batches, one partition each, by the git command.
 
-A folder outside a work tree, a missing binary or a failed call gives no rows.
+A folder outside a work tree, a repository without commits or a missing binary gives
+no rows.  A call that fails or takes over SECONDS gives one row of repo_id and error,
+all else null, so a history that could not be read does not look like none.
 """
 
 from __future__ import annotations
@@ -8,6 +10,7 @@ from __future__ import annotations
 import json
 import subprocess
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import schemas
@@ -15,12 +18,21 @@ from .. import schemas
 SECONDS = 15
 
 
-def git(root: str, *args: str) -> str | None:
+def call(root: str, *args: str) -> tuple[str | None, str | None]:
+    """(output, None), or (None, what went wrong)."""
     try:
-        done = subprocess.run(["git", "-C", str(root), *args], capture_output=True, text=True, timeout=SECONDS, errors="replace")
-    except (OSError, subprocess.SubprocessError):
-        return None
-    return done.stdout if done.returncode == 0 else None
+        done = subprocess.run(["git", "-C", str(root), *args], capture_output=True, timeout=SECONDS)
+    except subprocess.TimeoutExpired:
+        return None, f"git {args[0]} took more than {SECONDS} seconds"
+    except (OSError, subprocess.SubprocessError) as e:
+        return None, f"git {args[0]}: {type(e).__name__}"
+    if done.returncode:
+        return None, f"git {args[0]} ended with {done.returncode}"
+    return done.stdout.decode("utf-8", "replace"), None
+
+
+def git(root: str, *args: str) -> str | None:
+    return call(root, *args)[0]
 
 
 def head(root: str) -> str | None:
@@ -60,17 +72,43 @@ class _Reader(DataSourceReader):
         return [_Part(*x) for x in self.roots.items()] or [_Part("", "")]
 
     def read(self, part):
-        if not part.root or (git(part.root, "rev-parse", "--is-inside-work-tree") or "").strip() != "true":
+        schema, rows = _FILES if self.files else _COMMITS, []
+        for row in self._rows(part):
+            rows.append(row)
+            if len(rows) == BATCH:
+                yield _batch(rows, schema)
+                rows = []
+        if rows:
+            yield _batch(rows, schema)
+
+    def _rows(self, part):
+        if not part.root or (git(part.root, "rev-parse", "--is-inside-work-tree") or "").strip() != "true" or head(part.root) is None:
             return
         limit = [f"-n{int(self.most)}"] if self.most else []
-        if self.files:
-            sha = None
-            for line in (git(part.root, "log", *limit, "--relative", "--name-only", "--format=%x01%H") or "").splitlines():
-                if line.startswith("\x01"):
-                    sha = line[1:]
-                elif line.strip():
-                    yield part.repo, sha, line.strip()
+        form = ["--relative", "--name-only", "--format=%x01%H"] if self.files else ["--format=%H%x01%an%x01%aI%x01%P%x01%s"]
+        out, error = call(part.root, "log", *limit, *form)
+        if error:
+            yield (part.repo, *[None] * (2 if self.files else 6), error)
+            return
+        lines = filter(None, out.split("\n"))
+        if not self.files:
+            for i, line in enumerate(lines):
+                sha, author, date, parents, subject = line.split("\x01", 4)
+                yield part.repo, sha, author, date, subject, not parents, i, None
             return
-        for i, line in enumerate((git(part.root, "log", *limit, "--format=%H%x01%an%x01%aI%x01%P%x01%s") or "").splitlines()):
-            sha, author, date, parents, subject = line.split("\x01", 4)
-            yield part.repo, sha, author, date, subject, not parents, i
+        sha = None
+        for line in lines:
+            if line.startswith("\x01"):
+                sha = line[1:]
+            elif line.strip():
+                yield part.repo, sha, line.strip(), None
+
+
+BATCH = 10_000
+_TEXTS = lambda *names: [(n, pa.string()) for n in names]
+_FILES = pa.schema(_TEXTS("repo_id", "sha", "path", "error"))
+_COMMITS = pa.schema([*_TEXTS("repo_id", "sha", "author", "author_date", "subject"), ("is_root", pa.bool_()), ("ordinal", pa.int64()), ("error", pa.string())])
+
+
+def _batch(rows, schema):
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)

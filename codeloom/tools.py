@@ -35,6 +35,7 @@ class Memory:
         self.repo = next(iter(self.roots), None)
 
     def _git(self, table: str, **more) -> DataFrame:
+        """Commits or their files; a repository whose history could not be read has one row with an error."""
         return self.spark.read.format("gitlog").options(roots=json.dumps(self.roots), table=table, **more).load()
 
     @cached_property
@@ -232,15 +233,16 @@ class Tools:
         return {"critical_files": _rows(graph.critical_files(self.m.imports, limit)), "test_files_excluded": tests}
 
     def get_hotspots(self, limit: int = 10) -> dict:
-        churn = checkpoint(changes.churn(self.m._git("commits", max_commits=dims.CHURN_COMMITS), self.m._git("files", max_commits=dims.CHURN_COMMITS)))
+        churn = checkpoint(changes.churn(*(self.m._git(t, max_commits=dims.CHURN_COMMITS).where("error is null").drop("error") for t in ("commits", "files"))))
         if churn.isEmpty():
             return {"available": False, "hotspots": [], "reason": "no git history"}
         return {"available": True, "hotspots": _rows(graph.hotspots(churn, self.m.imports, limit))}
 
     def get_history(self) -> dict:
-        commits = self.m._git("commits")
+        rows = checkpoint(self.m._git("commits"))
+        commits, failed = rows.where("error is null").drop("error"), _rows(rows.where("error is not null").select("repo_id", "error"))
         one = _rows(changes.history(commits))
-        return {"is_git": bool(one), **(one[0] if one else {}), "top_contributors": _rows(changes.contributors(commits).orderBy("rank"))}
+        return {"is_git": bool(one), **(one[0] if one else {}), "top_contributors": _rows(changes.contributors(commits).orderBy("rank")), **({"error": failed[0]["error"]} if failed else {})}
 
     def explain_module(self, target: str) -> dict:
         got = _rows(modules.explain(self.m.summary, self.m.nodes, self.m.imports, self._ask(target=target), self.m.entry_points))

@@ -1,5 +1,7 @@
 """Known answers about small source trees."""
 
+import subprocess
+
 import pytest
 
 from codeloom.plugins import GO, Registry, builtin
@@ -60,3 +62,26 @@ def test_dart_declarations_and_noise():
     assert (got["classes"][0]["bases"], got["classes"][0]["interfaces"]) == (["Base"], ["A", "B"])
     assert [(f["name"], f["line"]) for f in got["functions"]] == [("add", 9)]
     assert Registry(builtin()).parser_for("Go") is None and Registry([GO]).parser_for("Go")("type S struct {}\nfunc Run() {}\n")["functions"][0]["line"] == 2
+
+
+def test_history_is_told_from_one_that_could_not_be_read(spark, tmp_path):
+    """A repository with an odd subject, one without commits, one whose commits are damaged, and no repository."""
+    run = lambda d, *a: subprocess.run(["git", "-C", str(tmp_path / d), "-c", "user.name=A", "-c", "user.email=a@example.com", *a], check=True, capture_output=True)
+    for d in ("good", "new", "bad", "none"):
+        (tmp_path / d).mkdir()
+    for d in ("good", "new", "bad"):
+        run(d, "init", "-q")
+    for d in ("good", "bad"):
+        for i, subject in enumerate(("first", "page\x0cbreak line")):
+            (tmp_path / d / "a.txt").write_text(str(i))
+            run(d, "add", "-A")
+            run(d, "commit", "-q", "-m", subject)
+    sha = run("bad", "rev-parse", "HEAD~1").stdout.decode().strip()
+    (tmp_path / "bad/.git/objects" / sha[:2] / sha[2:]).unlink()
+    m = Memory(spark, {d: tmp_path / d for d in ("good", "new", "bad", "none")})
+    rows = m._git("commits").orderBy("repo_id", "ordinal").collect()
+    assert [(r.repo_id, r.subject, r.is_root) for r in rows if r.error is None] == [("good", "page\x0cbreak line", False), ("good", "first", True)]
+    assert [(r.repo_id, r.sha, r.error) for r in rows if r.error] == [("bad", None, "git log ended with 128")]
+    files = m._git("files").collect()
+    assert sorted((r.repo_id, r.path) for r in files if r.error is None) == [("good", "a.txt")] * 2
+    assert [r.repo_id for r in files if r.error] == ["bad"]
