@@ -11,6 +11,7 @@ import json
 import os
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -70,6 +71,18 @@ class _Reader(DataSourceReader):
         return out or [_Part("", "", "")]
 
     def read(self, part):
+        """Arrow batches of about BATCH characters of text; a larger text ends its batch."""
+        rows, held = [], 0
+        for row in self._rows(part):
+            rows.append(row)
+            held += 64 + len(row[5] or "")
+            if held >= BATCH:
+                yield _batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield _batch(rows)
+
+    def _rows(self, part):
         if not part.root:
             return
         start = os.path.join(part.root, part.top) if part.top else part.root
@@ -96,6 +109,14 @@ class _Reader(DataSourceReader):
                 yield part.repo, rel + f, False, size, mtime, text
 
 
+BATCH = 4 << 20
+_TREE = pa.schema([("repo_id", pa.string()), ("path", pa.string()), ("is_dir", pa.bool_()), ("size", pa.int64()), ("mtime", pa.float64()), ("text", pa.string())])
+
+
+def _batch(rows):
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _TREE)], schema=_TREE)
+
+
 def from_table(rows: DataFrame) -> DataFrame:
     """A tree from a table of (repo_id, path, text): the same rows that a walk would give, by predicates."""
     keep = ~paths.is_ignored(F.col("path")) & ~paths.is_sensitive(F.col("path"))
