@@ -114,6 +114,8 @@ _TREE = pa.schema([("repo_id", pa.string()), ("path", pa.string()), ("is_dir", p
 
 
 def _batch(rows):
+    """Bytes of a path that are not UTF-8 become the replacement character."""
+    rows = [(r[0], r[1].encode("utf-8", "surrogateescape").decode("utf-8", "replace"), *r[2:]) for r in rows]
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _TREE)], schema=_TREE)
 
 

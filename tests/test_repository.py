@@ -85,3 +85,9 @@ def test_history_is_told_from_one_that_could_not_be_read(spark, tmp_path):
     files = m._git("files").collect()
     assert sorted((r.repo_id, r.path) for r in files if r.error is None) == [("good", "a.txt")] * 2
     assert [r.repo_id for r in files if r.error] == ["bad"]
+
+
+def test_a_path_that_is_not_utf8(spark, tmp_path):
+    with open(bytes(tmp_path) + b"/odd\xff.py", "w") as h:
+        h.write("x = 1\n")
+    assert [(r.path, r.text) for r in Memory(spark, tmp_path).tree.collect()] == [("odd\ufffd.py", "x = 1\n")]
