@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,6 +106,17 @@ class Scratch:
         self.paths[id(out)] = (out, path)
         return out
 
+    def keep_apart(self, df: DataFrame, kind: str, *values: str) -> list[DataFrame]:
+        """A table for each of these values of the column ``kind``, from one run of ``df``; each is dropped by itself."""
+        path = f"{shared_folder(self.spark)}/scratch-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").partitionBy(kind).parquet(path)
+        out = []
+        for v in values:
+            self.spark.createDataFrame([], df.schema).drop(kind).write.mode("append").parquet(f"{path}/{kind}={v}")
+            out.append(self.spark.read.schema(df.drop(kind).schema).parquet(f"{path}/{kind}={v}"))
+            self.paths[id(out[-1])] = (out[-1], f"{path}/{kind}={v}")
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
             _, path = self.paths.pop(id(df))
@@ -112,6 +124,18 @@ class Scratch:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Within it each query's shuffle files are removed as soon as it ends, and not when the driver next collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def free(columns, *names: str) -> list[str]:
     """``names``, each with as many underscores as make it differ from ``columns`` in any case of letters."""
     taken, out = {c.lower() for c in columns}, []

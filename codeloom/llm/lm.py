@@ -18,9 +18,12 @@ every sweep, so only pairs seen more often are seated.  After ``BURN`` sweeps, e
 ``SAMPLES`` sweeps gives a predictive probability; a token's probability is their
 mean, and perplexity follows.  Whether the seating has settled is not checked.
 
-What moves: all pairs of words with counts, partly summed, then to meet their
-context's and their word's totals; the pairs of each document, to meet their
-probability; sums by document.  No side is hinted to be broadcast.
+What moves: the pairs of each piece of text, packed (two bytes for each of the FREQUENT
+words, others as hashes, zstd), to the buckets that count them; pairs seen more than
+once, to meet their context's and their word's totals, which for the frequent words are
+broadcast; packed probabilities (in steps of 2**-25 of log10) back to the pieces, whose
+documents wait as packed places of pairs.  Each step's shuffle files are removed when it
+ends, and written tables as soon as nothing reads them.
 
 Defined results: a null or empty text is the end token alone; a null doc_id is a
 training document; each row is scored by itself and repeats count as often as they
@@ -30,21 +33,28 @@ gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import checkpoint, fold, table
+from ._common import Scratch, fold, shuffles_removed, table
 from ._tokens import Tokenizer, mix, pieces
 
 FOLDS = 10
 CONTEXTS = 255  # of the dense form alone
 BURN, SAMPLES = 1, 2
-FREQUENT = 32_000  # not read any more
+FREQUENT = 65_535  # words that are written in two bytes
+SAMPLE = 8_192  # texts from which they are taken
 STRENGTH = 10.0
 ADD = 0.1
 _PIECE = 2 << 20
+_LARGE = 6 << 20  # bytes of text whose pairs are packed together
+_BUCKET = 4 << 20  # bytes of text for each bucket of cells
+SLICES = 3  # parts in which the buckets answer, so that their shuffles need not be on disk together
 
 
 # ---- words of texts -------------------------------------------------------
@@ -293,79 +303,93 @@ def _count_pairs(batches):
             yield pa.RecordBatch.from_arrays([pa.array(u[order[first]].view(np.int64)), pa.array(w[order[first]].view(np.int64)), pa.array(c)], names=["u", "w", "c"])
 
 
-def _document_pairs(batches):
-    """(row, doc_id, u, w, n): the pairs of each row."""
-    tokenizer = Tokenizer()
-    for batch in batches:
-        for row, data, offs in pieces(batch.column(2), _PIECE):
-            doc, u, w = _tokens(tokenizer, data, offs)
-            order, first = _runs(doc, u, w)
-            n, at = np.diff(np.append(first, len(order))), order[first]
-            take = pa.array(row + doc[at])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(u[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(n)], names=["row", "doc_id", "u", "w", "n"]
-            )
-
-
-def _seat_cells(d, sweep):
-    """(u, w, c, t) of cells (u, w, c, a)."""
+def _seat_cells(d, sweep, top):
+    """Cells (u, w, c, seats, a, ...) with their tables t for a."""
 
     def run(batches):
         for batch in batches:
-            u, w = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-            t = seat(batch.column(2).to_numpy(), batch.column(3).to_numpy(), d, mix(w + u * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)), sweep)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(t), *batch.columns[4:]], names=["u", "w", "c", "t", "seats"])
+            u, w = (_hashes(batch.column(c).to_numpy().view(np.uint64), top) for c in ("u", "w"))
+            t = seat(batch.column("c").to_numpy(), batch.column("a").to_numpy(), d, mix(w + u * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)), sweep)
+            yield batch.drop_columns(["a"]).append_column("t", pa.array(t))
 
     return run
 
 
-def _seat_words(a, d0, sweep):
+def _seat_words(a, d0, sweep, top):
     """(w, c, single, n0, t0, seats) with t0 seated anew."""
 
     def run(batches):
         for batch in batches:
             n0 = batch.column(3).to_numpy()
-            t0 = seat(n0, np.full(len(n0), a), d0, batch.column(0).to_numpy().view(np.uint64), sweep)
+            t0 = seat(n0, np.full(len(n0), a), d0, _hashes(batch.column(0).to_numpy().view(np.uint64), top), sweep)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(t0), batch.column(5)], names=["w", "c", "single", "n0", "t0", "seats"])
 
     return run
 
 
-def predictions(cells: DataFrame):
-    """(u, w, known, base, lp) of every cell (u, w, c), and the number of training tokens.
+def _met(left: DataFrame, right: DataFrame, key: str, top) -> DataFrame:
+    """Each row of ``left`` with the one of ``right`` with its key; the numbered words, FREQUENT at most, meet by a broadcast."""
+    if top is None:
+        return left.join(right, key)
+    often = (F.col(key) >= 0) & (F.col(key) < len(top))
+    return left.where(often).join(F.broadcast(right.where(often)), key).unionByName(left.where(~often).join(right.where(~often), key))
+
+
+def _settle(contexts: DataFrame, words: DataFrame, many: DataFrame, scratch: Scratch, top=None):
+    """The sweeps: (contexts (u, customers, back), words (w, c, seats), many (..., seats), d, tokens, types).
 
-    A cell with one customer has one table, so the sweeps move only those with more.
+    From contexts (u, customers, single, tables), words (w, c, single, n0) and the cells ``many`` (u, w, c, ...) with more
+    than one customer; a cell with one has one table in every sweep.  ``back`` and the words' ``seats`` hold, for each
+    sample, the parent's share and prediction, the cells' ``seats`` their tables.  The first three are the caller's to drop.
     """
     none = F.array().cast("array<double>")
-    tokens, n1, n2 = (x or 0 for x in cells.agg(F.sum("c"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first())
-    one, some = F.count_if(F.col("c") == 1).alias("single"), F.count_if(F.col("c") > 0)
-    contexts = checkpoint(cells.groupBy("u").agg(F.sum("c").alias("customers"), one, some.alias("tables")).withColumn("back", none))
-    words = checkpoint(cells.groupBy("w").agg(F.sum("c").alias("c"), one, some.alias("n0")).withColumn("t0", F.least("n0", F.lit(1).cast("long"))).withColumn("seats", none))
-    got = words.agg(F.sum("t0"), F.sum("n0"), F.count_if(F.col("n0") == 1), F.count_if(F.col("n0") == 2)).first()
-    types, all_n, m1, m2 = (x or 0 for x in got)
+    contexts = scratch.keep(contexts.withColumn("back", none))
+    words = scratch.keep(words.withColumn("t0", F.least("n0", F.lit(1).cast("long"))).withColumn("seats", none))
+    got = words.agg(F.sum("t0"), F.sum("n0"), F.count_if(F.col("n0") == 1), F.count_if(F.col("n0") == 2), F.sum("c"), F.sum("single")).first()
+    types, all_n, m1, m2, tokens, n1 = (x or 0 for x in got)
+    n2 = many.where("c = 2").count()
     all_t = types
     d, d0 = (float(np.clip(a / max(a + 2 * b, 1), 0.05, 0.95)) for a, b in ((n1, n2), (m1, m2)))
     share = (F.lit(STRENGTH) + d * F.col("tables")) / (F.lit(STRENGTH) + F.col("customers"))
     parent = lambda: (F.greatest(F.col("n0") - d0 * F.col("t0"), F.lit(0.0)) + (STRENGTH + d0 * all_t) / (types + 1)) / (STRENGTH + all_n)
-    many = cells.where("c > 1").withColumn("seats", none)
+    moves = F.col("tables") > F.col("single")  # the others have cells of one customer alone
+    still = contexts.where(~moves).select("u", "customers", F.array_repeat(share, SAMPLES).alias("back"))
+    start, contexts = contexts, contexts.where(moves)
+    many, first = many.withColumn("seats", none), None
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in many.schema) + ", t long"
     for s in range(1, BURN + SAMPLES + 1):
-        met = many.join(contexts.select("u", "tables"), "u").join(words.select("w", parent().alias("base")), "w")
-        met = met.select("u", "w", "c", ((STRENGTH + d * F.col("tables")) * F.col("base")).alias("a"), "seats")
-        many = met.mapInArrow(_seat_cells(d, s), "u long, w long, c long, t long, seats array<double>")
+        met = _met(_met(many, contexts.select("u", "tables"), "u", top), words.select("w", parent().alias("base")), "w", top)
+        met = met.select(*many.columns, ((STRENGTH + d * F.col("tables")) * F.col("base")).alias("a"))
+        seated = met.mapInArrow(_seat_cells(d, s, top), fields)
         if s > BURN:
-            many = many.withColumn("seats", F.concat("seats", F.array(F.col("t").cast("double"))))
-        many = checkpoint(many)
-        contexts = contexts.join(many.groupBy("u").agg(F.sum("t").alias("t")), "u", "left")
-        contexts = contexts.select("u", "customers", "single", (F.col("single") + F.coalesce("t", F.lit(0))).alias("tables"), "back")
-        words = words.join(many.groupBy("w").agg(F.sum("t").alias("t")), "w", "left")
-        words = words.select("w", "c", "single", (F.col("single") + F.coalesce("t", F.lit(0))).alias("n0"), "t0", "seats")
-        words = checkpoint(words.mapInArrow(_seat_words((STRENGTH + d0 * all_t) / (types + 1), d0, s), "w long, c long, single long, n0 long, t0 long, seats array<double>"))
+            seated = seated.withColumn("seats", F.concat("seats", F.array(F.col("t").cast("double"))))
+        seated, old = scratch.keep(seated), (words, *([first, contexts] if first is not None else []))
+        first, many = seated, seated.drop("t")
+        tables = seated.groupBy("u").agg(F.sum("t").alias("t"))
+        contexts = contexts.join(tables, "u").select("u", "customers", "single", (F.col("single") + F.col("t")).alias("tables"), "back")
+        moved = words.where("n0 > single").join(seated.groupBy("w").agg(F.sum("t").alias("t")), "w")
+        words = moved.select("w", "c", "single", (F.col("single") + F.col("t")).alias("n0"), "t0", "seats").unionByName(words.where("n0 <= single"))
+        words = words.mapInArrow(_seat_words((STRENGTH + d0 * all_t) / (types + 1), d0, s, top), "w long, c long, single long, n0 long, t0 long, seats array<double>")
+        words = scratch.keep(words)
         all_n, all_t = (x or 0 for x in words.agg(F.sum("n0"), F.sum("t0")).first())
+        contexts = scratch.keep(contexts.withColumn("back", F.concat("back", F.array(share))) if s > BURN else contexts)
+        scratch.drop(*old)
         if s > BURN:
-            contexts = contexts.withColumn("back", F.concat("back", F.array(share)))
-            words = words.withColumn("seats", F.concat("seats", F.array(parent())))
-        contexts = checkpoint(contexts)
+            seats = words.withColumn("seats", F.concat("seats", F.array(parent())))
+            old, words = words, scratch.keep(seats)
+            scratch.drop(old)
+    every = scratch.keep(contexts.select("u", "customers", "back").unionByName(still))
+    scratch.drop(start, contexts)
+    return every, words, first, d, tokens, types
+
 
+def predictions(cells: DataFrame):
+    """(u, w, known, base, lp) of every cell (u, w, c), and the number of training tokens: the model as rows."""
+    scratch = Scratch(cells.sparkSession)
+    one, some = F.count_if(F.col("c") == 1).alias("single"), F.count_if(F.col("c") > 0)
+    contexts = cells.groupBy("u").agg(F.sum("c").alias("customers"), one, some.alias("tables"))
+    words = cells.groupBy("w").agg(F.sum("c").alias("c"), one, some.alias("n0"))
+    contexts, words, many, d, tokens, types = _settle(contexts, words, cells.where("c > 1").select("u", "w", "c"), scratch)
     c = F.col("c").cast("double")
     few = cells.where("c < 2").select("u", "w", "c", F.array(*[c] * SAMPLES).alias("seats"))
     own = few.unionByName(many.select("u", "w", "c", "seats"))
@@ -377,19 +401,290 @@ def predictions(cells: DataFrame):
     return own.select("u", "w", "known", "base", F.log10(p).alias("lp")), tokens
 
 
+# ---- packed pairs ---------------------------------------------------------
+
+
+def _pack(*arrays) -> bytes:
+    """The arrays byte by byte in planes, compressed."""
+    head = np.array([len(arrays), *(x for a in arrays for x in (ord(a.dtype.kind), a.dtype.itemsize, len(a)))], np.int64).tobytes()
+    raw = head + b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def _unpack(blob) -> list[np.ndarray]:
+    blob = memoryview(blob)
+    raw = pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    out, at = [], 8 * (1 + 3 * n)
+    for kind, size, length in np.frombuffer(raw, np.int64, 3 * n, 8).reshape(-1, 3).tolist():
+        planes = np.frombuffer(raw, np.uint8, size * length, at).reshape(size, length)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(f"{chr(kind)}{size}"))
+        at += size * length
+    return out
+
+
+def _steps(places, sizes):
+    """The places of each list as steps from the one before, the first from 0."""
+    out = np.diff(places, prepend=0)
+    first = (np.cumsum(sizes) - sizes)[sizes > 0]
+    out[first] = places[first]
+    return out.astype(np.uint32)
+
+
+def _places(steps, sizes):
+    if not len(steps):
+        return np.zeros(0, np.int64)
+    total = np.cumsum(steps.astype(np.int64))
+    before = np.concatenate(([0], total))[np.cumsum(sizes) - sizes]
+    return total - np.repeat(before, sizes)
+
+
+def _hashes(ids, top):
+    """The words' hashes; ids below len(top) are numbers of frequent words, all others are the hashes themselves."""
+    return ids if top is None else np.where(ids < len(top), top[np.minimum(ids, len(top) - 1).astype(np.int64)], ids)
+
+
+def _codes(ids, top):
+    """Two bytes for each word and the hashes of those that are not numbered."""
+    often = ids < len(top)
+    return np.where(often, ids, 65535).astype(np.uint16), ids[~often]
+
+
+def _ids(codes, rare):
+    out = codes.astype(np.uint64)
+    out[codes == 65535] = rare
+    return out
+
+
+def _count_words(batches):
+    """(w, n) of each batch."""
+    tokenizer = Tokenizer()
+    for batch in batches:
+        for _, data, offs in pieces(batch.column(0), _PIECE):
+            w, n = np.unique(tokenizer.words(data, offs)[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], names=["w", "n"])
+
+
+def frequent(rows: DataFrame, texts: int) -> np.ndarray:
+    """Hashes of at most FREQUENT words, the most frequent first, from about SAMPLE texts; the text's end is always one.
+
+    They are only written shorter and met by a broadcast; no result depends on them.
+    """
+    some = rows if texts <= SAMPLE else rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(texts)) < SAMPLE)
+    top = some.select("text").mapInArrow(_count_words, "w long, n long").where("w <> 0").groupBy("w").agg(F.sum("n").alias("n"))
+    top = top.orderBy(F.desc("n"), "w").limit(max(min(FREQUENT, 65_535) - 1, 0)).select("w").collect()
+    return np.array([0, *(r.w for r in top)], np.int64).view(np.uint64)
+
+
+def _large(tokenizer, texts):
+    """(first row, counts by row, hashes) of runs of rows of about ``_LARGE`` bytes, whose words are found in smaller pieces."""
+    first, size, held = 0, 0, []
+    for row, data, offs in pieces(texts, _PIECE // 2):
+        if size >= _LARGE:
+            yield first, *map(np.concatenate, zip(*held))
+            first, size, held = row, 0, []
+        held.append(tokenizer.words(data, offs)[:2])
+        size += len(data)
+    if held:
+        yield first, *map(np.concatenate, zip(*held))
+
+
+def _pack_pairs(top, buckets):
+    """(bucket, batch, data): the pairs of each piece of (train, doc_id, text) with their customers, dealt over the buckets; below bucket 0 its documents.
+
+    All pairs of a word that is not frequent share a bucket, those of a first word that is
+    not with frequent words too, and pairs of frequent words are dealt one by one.
+    """
+
+    def run(batches):
+        tokenizer, order, part, made = Tokenizer(), np.argsort(top), TaskContext.get().partitionId(), 0
+        keys = top[order]
+        for batch in batches:
+            train = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for row, counts, h in _large(tokenizer, batch.column(2)):
+                doc = np.repeat(np.arange(len(counts)), counts + 1)
+                names, w = np.unique(np.insert(h, np.cumsum(counts), np.uint64(0)), return_inverse=True)
+                at, hit = _find(keys, names)
+                ids = np.where(hit, order[at].astype(np.uint64), names)
+                by = np.argsort(ids)
+                ids, place = ids[by], np.empty(len(by), np.int64)
+                place[by] = np.arange(len(by))
+                w = place[w]
+                start = np.concatenate(([True], doc[1:] != doc[:-1]))
+                u = np.where(start, np.searchsorted(ids, 0), np.concatenate(([0], w[:-1])))  # the end is number 0
+                pair, which = np.unique(u * len(ids) + w, return_inverse=True)
+                pu, pw = ids[pair // len(ids)], ids[pair % len(ids)]
+                deal = np.where(pw >= len(top), pw, np.where(pu >= len(top), pu, mix(pu * np.uint64(0x9E3779B97F4A7C15) + pw)))
+                bucket = (mix(deal) % np.uint64(buckets)).astype(np.int64)
+                by = np.argsort(bucket, kind="stable")
+                place = np.empty(len(by), np.int64)
+                place[by] = np.arange(len(by))
+                c = np.bincount(which, train[row + doc], len(pair)).astype(np.int64)
+                # documents
+                cell, n = np.unique(doc * len(pair) + place[which], return_counts=True)
+                sizes = np.bincount(cell // len(pair), minlength=len(counts))
+                names = batch.column(1).slice(row, len(counts))
+                null = names.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
+                number = (part << 32) + made
+                made += 1
+                where, what = [-1 - number % (1 << 30)], [_pack(names.fill_null(0).to_numpy(), null, sizes, _steps(cell % len(pair), sizes), n)]
+                pu, pw, c, bucket = pu[by], pw[by], c[by], bucket[by]
+                edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+                for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                    where.append(int(bucket[lo]))
+                    what.append(_pack(*_codes(pu[lo:hi], top), *_codes(pw[lo:hi], top), c[lo:hi]))
+                for lo in range(0, len(where), 1024):
+                    n = len(where[lo : lo + 1024])
+                    yield pa.RecordBatch.from_arrays([pa.array(where[lo : lo + n], pa.int64()), pa.array([number] * n, pa.int64()), pa.array(what[lo : lo + n], pa.binary())], names=["bucket", "batch", "data"])
+
+    return run
+
+
+_TALLY = pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("batch", pa.int64()), ("u", pa.int64()), ("w", pa.int64()), ("place", pa.int64()), ("c", pa.int64()), ("single", pa.int64()), ("some", pa.int64()), ("data", pa.binary())])
+_TALLIED = "kind string, bucket long, batch long, u long, w long, place long, c long, single long, some long, data binary"
+
+
+def _rows(kind, n, **columns):
+    columns = {"kind": pa.array([kind] * n, pa.string())} | {k: pa.array(v.view(np.int64) if isinstance(v, np.ndarray) else v, _TALLY.field(k).type) for k, v in columns.items()}
+    return pa.table([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in _TALLY], schema=_TALLY)
+
+
+def _tally(top):
+    """Of a bucket: its cells and which of them each piece holds (packed), the cells of several customers, and the totals by u and by w."""
+
+    def run(t):
+        bucket, batch, data = t.column("bucket")[0].as_py(), t.column("batch").to_pylist(), t.column("data")
+        if bucket < 0:
+            return _rows("document", len(t), bucket=[bucket] * len(t), batch=batch, data=data.combine_chunks())
+        got = [_unpack(x.as_buffer()) for x in data]
+        u = np.concatenate([_ids(x[0], x[1]) for x in got])
+        w = np.concatenate([_ids(x[2], x[3]) for x in got])
+        sizes = np.array([len(x[0]) for x in got])
+        ids, both = np.unique(np.concatenate((u, w)), return_inverse=True)
+        pair, which = np.unique(both[: len(u)] * len(ids) + both[len(u) :], return_inverse=True)
+        c = np.bincount(which, np.concatenate([x[4] for x in got]), len(pair)).astype(np.int64)
+        pu, pw = pair // len(ids), pair % len(ids)
+        lists = _steps(which, sizes)
+        out = [_rows("cells", 1, bucket=[bucket], data=[_pack(*_codes(ids[pu], top), *_codes(ids[pw], top), c, np.array(batch), sizes, lists)])]
+        at = np.flatnonzero(c > 1)
+        out.append(_rows("many", len(at), bucket=np.full(len(at), bucket), u=ids[pu[at]], w=ids[pw[at]], place=at, c=c[at]))
+        for name, p in (("u", pu), ("w", pw)):
+            have = np.flatnonzero(np.bincount(p, minlength=len(ids)))
+            total = lambda x: np.bincount(p, x, len(ids))[have].astype(np.int64)  # noqa: B023, E731
+            out.append(_rows(name, len(have), bucket=np.full(len(have), bucket), c=total(c), single=total(c == 1), some=total(c > 0), **{name: ids[have]}))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _answer(top, often_u, often_w, d):
+    """(batch, bucket, data): log10 probability and word count for each pair that a piece sent to this bucket, in its order.
+
+    Probabilities are written in steps of 2**-25.
+    """
+
+    def values(ids, often, got):
+        out = [x[np.minimum(ids, len(top) - 1).astype(np.int64)] for x in often]
+        rare = np.flatnonzero(ids >= len(top))
+        if len(rare):
+            key = got.column("key").to_numpy().view(np.uint64)
+            order = np.argsort(key)
+            at = order[np.searchsorted(key[order], ids[rare])]
+            for i, x in enumerate(out):
+                x[rare] = got.column(f"x{i}").to_numpy()[at]
+        return out
+
+    def run(left, right):
+        batch, bucket, data = [], [], []
+        for number, blob in zip(left.column("bucket").to_pylist(), left.column("data")):
+            a, b, e, f, c, batches, sizes, lists = _unpack(blob.as_buffer())
+            u, w = _ids(a, b), _ids(e, f)
+            kind = right.column("kind").to_numpy()
+            told = [right.filter(pa.array(kind == i)) for i in range(3)]
+            (customers, *back), (count, *p0) = values(u, often_u, told[0]), values(w, often_w, told[1])
+            p, at = 0, told[2].column("key").to_numpy()
+            for i in range(SAMPLES):
+                t = np.minimum(c, 1).astype(float)
+                t[at] = told[2].column(f"x{i + 1}").to_numpy()
+                p = p + np.maximum(c - d * t, 0) / (STRENGTH + customers) + back[i] * p0[i]
+            lp, count = np.rint(np.log10(p / SAMPLES) * 2.0**25).astype(np.int32), count.astype(np.int64)
+            places, to = _places(lists, sizes), np.cumsum(sizes)
+            for i, (n, end) in enumerate(zip(sizes.tolist(), to.tolist())):
+                own = places[end - n : end]
+                batch.append(int(batches[i]))
+                bucket.append(number)
+                data.append(_pack(lp[own], count[own]))
+        return pa.table([pa.array(batch, pa.int64()), pa.array(bucket, pa.int64()), pa.array(data, pa.binary())], names=["batch", "bucket", "data"])
+
+    return run
+
+
+def _add_up(tokens, types):
+    """(doc_id, n_tokens, n_known, base_score, score) of the documents of a piece."""
+
+    def run(left, right):
+        out = []
+        got = [_unpack(x.as_buffer()) for x in right.take(pa.array(np.argsort(right.column("bucket").to_numpy()))).column("data")]
+        for blob in left.column("data"):
+            names, null, sizes, steps, n = _unpack(blob.as_buffer())
+            places, doc = _places(steps, sizes), np.repeat(np.arange(len(names)), sizes)
+            lp, c = (np.concatenate([x[i] for x in got])[places] for i in (0, 1))
+            total = lambda x: np.bincount(doc, n * x, len(names))  # noqa: B023, E731
+            base = np.log10((c + ADD) / (tokens + ADD * (types + 1)))
+            known = [total(x).astype(np.int64) for x in (np.ones(len(n)), c > 0)]
+            out.append(pa.table([pa.array(names, pa.int64(), mask=null.astype(bool)), *map(pa.array, known), pa.array(total(base)), pa.array(total(lp / 2.0**25))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"]))
+        return pa.concat_tables(out)
+
+    return run
+
+
 # ---- scoring --------------------------------------------------------------
 
 
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = FOLDS) -> DataFrame:
     """For each row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    with shuffles_removed(docs.sparkSession):
+        return _score_texts(docs, key, text, folds)
+
+
+def _score_texts(docs, key, text, folds):
+    scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     held = fold(F.col("doc_id"), folds) == 0
-    cells = rows.select((~held).alias("train"), "text").mapInArrow(_count_pairs, "u long, w long, c long")
-    found, tokens = predictions(checkpoint(cells.groupBy("u", "w").agg(F.sum("c").alias("c"))))
-    parts = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(_document_pairs, "row long, doc_id long, u long, w long, n long")
-    total = lambda c: F.sum(F.col("n") * F.col(c))
-    out = parts.join(found, ["u", "w"]).groupBy("row", "doc_id")
-    out = out.agg(F.sum("n").alias("n_tokens"), total("known").alias("n_known"), total("base").alias("base_score"), total("lp").alias("score"))
+    texts, size = (x or 0 for x in rows.agg(F.count("*"), F.sum(F.octet_length("text").cast("long"))).first())
+    top = frequent(rows, texts)
+    packed = rows.select((~held).alias("train"), "doc_id", "text").mapInArrow(_pack_pairs(top, -(-(size + texts) // _BUCKET) or 1), "bucket long, batch long, data binary")
+    tallied = packed.groupBy("bucket").applyInArrow(_tally(top), _TALLIED)
+    documents, cells, many, by_u, by_w = scratch.keep_apart(tallied, "kind", "document", "cells", "many", "u", "w")
+    contexts = by_u.groupBy("u").agg(F.sum("c").alias("customers"), F.sum("single").alias("single"), F.sum("some").alias("tables"))
+    words = by_w.groupBy("w").agg(F.sum("c").alias("c"), F.sum("single").alias("single"), F.sum("some").alias("n0"))
+    contexts, words, seated, d, tokens, types = _settle(contexts, words, many.select("bucket", "place", "u", "w", "c"), scratch, top)
+    scratch.drop(many)
+
+    values = lambda c: [F.col(c)[i].alias(f"x{i + 1}") for i in range(SAMPLES)]
+    told, often = [], []
+    for number, own, table_, k, first, rest in ((0, by_u, contexts, "u", "customers", "back"), (1, by_w, words, "w", "c", "seats")):
+        numbered = (F.col(k) >= 0) & (F.col(k) < len(top))
+        at = np.zeros((SAMPLES + 1, len(top)))
+        for r in table_.where(numbered).select(k, F.col(first).cast("double"), *values(rest)).collect():  # FREQUENT rows at most
+            at[:, r[0]] = r[1:]
+        often.append(at)
+        met = own.where(~numbered).select("bucket", k).join(table_.where(~numbered).select(k, first, rest), k)
+        told.append(scratch.keep(met.select("bucket", F.lit(number).alias("kind"), F.col(k).alias("key"), F.col(first).cast("double").alias("x0"), *values(rest))))
+        scratch.drop(own, table_)
+    apart = F.exists("seats", lambda t: t != 1)  # cells at one table need no message
+    told.append(scratch.keep(seated.where(apart).select("bucket", F.lit(2).alias("kind"), F.col("place").alias("key"), F.col("c").cast("double").alias("x0"), *values("seats"))))
+    scratch.drop(seated)
+    told_, answers = told[0].unionByName(told[1]).unionByName(told[2]), []
+    for i in range(SLICES):
+        own = F.pmod("bucket", F.lit(SLICES)) == i
+        both = cells.where(own).select("bucket", "data").groupBy("bucket").cogroup(told_.where(own).groupBy("bucket"))
+        answers.append(scratch.keep(both.applyInArrow(_answer(top, *often, d), "batch long, bucket long, data binary")))
+    scratch.drop(cells, *told)
+    every = reduce(DataFrame.unionByName, answers)
+    both = documents.select("batch", "data").groupBy("batch").cogroup(every.groupBy("batch"))
+    out = scratch.keep(both.applyInArrow(_add_up(tokens, types), "doc_id long, n_tokens long, n_known long, base_score double, score double"))
+    scratch.drop(documents, *answers)
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -118,3 +118,28 @@ def test_every_previous_word_is_a_context(spark):
     got = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     tokens, score = (sum(getattr(x, c) for x in got if held(x.doc_id)) for c in ("n_tokens", "score"))
     assert 10 ** (-score / tokens) < 60  # about 32 where b follows a, 1000 words in all
+
+
+def test_packed_scores_equal_the_rows_of_the_model(spark, monkeypatch):
+    """Pairs of frequent and of rare words over several buckets against predictions() on rows, and the size of packed pairs."""
+    monkeypatch.setattr(lm, "FREQUENT", 20)
+    monkeypatch.setattr(lm, "_BUCKET", 8000)
+    r = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{int(x)}" for x in r.zipf(1.4, r.integers(0, 40)) % 200)) for i in range(250)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    got = {x.doc_id: x for x in lm.score_texts(df).collect()}
+    count = Counter()
+    for i, t in rows:
+        for p in zip([""] + words(t), words(t) + [""]):
+            count[p] += not held(i)
+    names = sorted({w for p in count for w in p})
+    h = dict(zip(names, lm.word_hashes(names).view(np.int64).tolist()))
+    cells = spark.createDataFrame([(h[u], h[w], int(c)) for (u, w), c in count.items()], "u long, w long, c long")
+    lp = {(x.u, x.w): x.lp for x in lm.predictions(cells)[0].collect()}
+    for i, t in rows:
+        want = sum(lp[h[u], h[w]] for u, w in zip([""] + words(t), words(t) + [""]))
+        assert abs(got[i].score - want) < 2.0**-25 * got[i].n_tokens
+    monkeypatch.setattr(lm, "FREQUENT", 65_535)
+    packed = df.coalesce(1).selectExpr("true", "doc_id", "text").mapInArrow(lm._pack_pairs(lm.frequent(df, len(rows)), 1), "bucket long, batch long, data binary")
+    assert packed.where("bucket >= 0").selectExpr("sum(length(data))").first()[0] < 8 * len(count)  # rows of pairs took 19 bytes
