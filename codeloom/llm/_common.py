@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,13 +53,32 @@ def labelled(labels: DataFrame, label: str, key: str = "doc_id", folds: int = 5,
     return rows.orderBy(F.xxhash64("id"), "id").limit(most)
 
 
+#: Links up to which components are found on the driver (two longs a link); more are found by rounds of joins.
+LOCAL_LINKS = 200_000
+
+
+def _roots(a: np.ndarray, b: np.ndarray):
+    """(id, smallest id reachable) of every id in a link: each root hooks to its smallest neighbour until none has a smaller one."""
+    ids, both = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y, root = both[: len(a)], both[len(a) :], np.arange(len(ids))
+    while True:
+        p, q = root[x], root[y]
+        apart = p != q
+        if not apart.any():
+            return ids, ids[root]
+        np.minimum.at(root, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest id reachable over ``links``, for each id in a link.
 
     Alternating large and small stars: every round rewires each node's larger,
     then smaller, neighbours to the smallest one, until only stars are left.
     Minima are partly taken before the shuffle and each node's minimum is one row,
-    so the join with a hot node's neighbours can be split.
+    so the join with a hot node's neighbours can be split.  Once no more than
+    LOCAL_LINKS links are left, the driver finds what remains.
     """
     ends = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     ends, last = checkpoint(ends), None
@@ -66,6 +87,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if seen == last or not seen[0]:
             break
         last = seen
+        if seen[0] <= LOCAL_LINKS:
+            got = ends.toArrow()
+            found = _roots(got.column("u").to_numpy(), got.column("v").to_numpy())
+            return ends.sparkSession.createDataFrame(pa.table([*map(pa.array, found)], names=["id", "component"]))
         both = ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -12,3 +12,25 @@ def test_join_sized_is_an_ordinary_join(spark):
         got = _common.join_sized(rows, right, rows.groupBy("k").agg(F.count("*").alias("m")), "k", "id")
         assert got.columns == ["k", "id", "v", "w"]
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(right, "k").collect()))
+
+
+def test_few_links_take_few_jobs(spark, monkeypatch):
+    """A long chain, a star and pairs: the driver's components are those of the joins, in a bounded number of jobs."""
+    import random
+
+    from codeloom.llm import _common
+
+    r = random.Random(3)
+    chain = r.sample(range(1, 5000), 60)
+    links = [*zip(chain, chain[1:]), *((-9, 10_000 + i) for i in range(80)), *((20_000 + 2 * i, 20_001 + 2 * i) for i in range(20)), (7_000, 7_000)]
+    df = spark.createDataFrame(links, "a long, b long")
+    context = spark.sparkContext
+    context.setJobGroup("few-links", "")
+    got = sorted(map(tuple, _common.components(df).collect()))
+    jobs = len(context.statusTracker().getJobIdsForGroup("few-links"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    want = [(i, min(chain)) for i in chain] + [(i, -9) for i in (-9, *range(10_000, 10_080))] + [(20_000 + i, 20_000 + i - i % 2) for i in range(40)]
+    assert got == sorted(want)
+    assert jobs <= 10, jobs
+    monkeypatch.setattr(_common, "LOCAL_LINKS", 0)
+    assert sorted(map(tuple, _common.components(df).collect())) == got
