@@ -119,14 +119,26 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 class Scratch:
-    """Written tables of one run of an operator, each deleted as soon as nothing reads it any more."""
+    """Written tables of one run of an operator, each deleted as soon as nothing reads it any more.
 
-    def __init__(self, spark: SparkSession):
+    With ``parts``, a table is written in at most so many files, or as many as there are cores,
+    and in a local store without checksum files: where Hadoop's native library is absent, the
+    JVM forks a chmod for every folder, file and checksum file.  Other stores ignore the options.
+    """
+
+    PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+    def __init__(self, spark: SparkSession, parts: int | None = None):
         self.spark, self.paths = spark, {}
+        self.parts = parts and max(parts, spark.sparkContext.defaultParallelism)
+        self.options = {"compression": "zstd"} | (self.PLAIN if parts else {})
+
+    def few(self, df: DataFrame) -> DataFrame:
+        return df.coalesce(self.parts) if self.parts else df
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{shared_folder(self.spark)}/scratch-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(path)
+        self.few(df).write.options(**self.options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out
@@ -134,10 +146,10 @@ class Scratch:
     def keep_apart(self, df: DataFrame, kind: str, *values: str) -> list[DataFrame]:
         """A table for each of these values of the column ``kind``, from one run of ``df``; each is dropped by itself."""
         path = f"{shared_folder(self.spark)}/scratch-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").partitionBy(kind).parquet(path)
+        self.few(df).write.options(**self.options).partitionBy(kind).parquet(path)
         out = []
         for v in values:
-            self.spark.createDataFrame([], df.schema).drop(kind).write.mode("append").parquet(f"{path}/{kind}={v}")
+            self.spark.createDataFrame([], df.schema).drop(kind).write.options(**self.options).mode("append").parquet(f"{path}/{kind}={v}")
             out.append(self.spark.read.schema(df.drop(kind).schema).parquet(f"{path}/{kind}={v}"))
             self.paths[id(out[-1])] = (out[-1], f"{path}/{kind}={v}")
         return out
@@ -150,15 +162,21 @@ class Scratch:
 
 
 @contextmanager
-def shuffles_removed(spark: SparkSession):
-    """Within it each query's shuffle files are removed as soon as it ends, and not when the driver next collects garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Within it these settings of the session hold."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def shuffles_removed(spark: SparkSession):
+    """Within it each query's shuffle files are removed as soon as it ends, and not when the driver next collects garbage."""
+    return settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
 
 
 def free(columns, *names: str) -> list[str]:

@@ -22,8 +22,9 @@ What moves: the pairs of each piece of text, packed (two bytes for each of the F
 words, others as hashes, zstd), to the buckets that count them; pairs seen more than
 once, to meet their context's and their word's totals, which for the frequent words are
 broadcast; packed probabilities (in steps of 2**-25 of log10) back to the pieces, whose
-documents wait as packed places of pairs.  Each step's shuffle files are removed when it
-ends, and written tables as soon as nothing reads them.
+documents wait as packed places of pairs.  Totals of frequent words are packed by
+spans.  Each step's shuffle files are removed when it ends, and written tables as soon
+as nothing reads them.
 
 Defined results: a null or empty text is the end token alone; a null doc_id is a
 training document; each row is scored by itself and repeats count as often as they
@@ -33,7 +34,9 @@ gives no rows.
 
 from __future__ import annotations
 
+import ctypes
 from functools import reduce
+from inspect import isgeneratorfunction, signature
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, fold, shuffles_removed, table
+from ._common import Scratch, fold, settings, shuffles_removed, table
 from ._tokens import Tokenizer, mix, pieces
 
 FOLDS = 10
@@ -54,6 +57,8 @@ ADD = 0.1
 _PIECE = 2 << 20
 _LARGE = 6 << 20  # bytes of text whose pairs are packed together
 _BUCKET = 4 << 20  # bytes of text for each bucket of cells
+_SPAN = 1_024  # numbers of frequent words whose totals travel together
+_FILE = 10  # buckets for each file of a table
 SLICES = 3  # parts in which the buckets answer, so that their shuffles need not be on disk together
 
 
@@ -272,6 +277,38 @@ def fit(cells: DataFrame, tokens: int, types: int) -> Model:
 # ---- all contexts ---------------------------------------------------------
 
 
+def _give_back() -> None:
+    """Memory that this worker has freed goes back to the system: beside an executor workers wait that ran before."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim is not None:
+        trim(0)
+
+
+def _lean(run):
+    """``run``, which maps batches or a group, with _give_back() at its end."""
+
+    def batches_(batches):
+        yield from run(batches)
+        _give_back()
+
+    def group(table):
+        try:
+            return run(table)
+        finally:
+            _give_back()
+
+    def groups(left, right):
+        try:
+            return run(left, right)
+        finally:
+            _give_back()
+
+    if isgeneratorfunction(run):
+        return batches_
+    return group if len(signature(run).parameters) == 1 else groups
+
+
 def _runs(*columns):
     """Order and first places of the runs of equal rows; rows whose keys collide only make more runs."""
     key = np.zeros(len(columns[0]), np.uint64)
@@ -312,19 +349,19 @@ def _seat_cells(d, sweep, top):
             t = seat(batch.column("c").to_numpy(), batch.column("a").to_numpy(), d, mix(w + u * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)), sweep)
             yield batch.drop_columns(["a"]).append_column("t", pa.array(t))
 
-    return run
+    return _lean(run)
 
 
 def _seat_words(a, d0, sweep, top):
-    """(w, c, single, n0, t0, seats) with t0 seated anew."""
+    """Words (w, n0, t0, ...) with t0 seated anew."""
 
     def run(batches):
         for batch in batches:
-            n0 = batch.column(3).to_numpy()
-            t0 = seat(n0, np.full(len(n0), a), d0, _hashes(batch.column(0).to_numpy().view(np.uint64), top), sweep)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(t0), batch.column(5)], names=["w", "c", "single", "n0", "t0", "seats"])
+            n0 = batch.column("n0").to_numpy()
+            t0 = seat(n0, np.full(len(n0), a), d0, _hashes(batch.column("w").to_numpy().view(np.uint64), top), sweep)
+            yield batch.set_column(batch.schema.get_field_index("t0"), "t0", pa.array(t0))
 
-    return run
+    return _lean(run)
 
 
 def _met(left: DataFrame, right: DataFrame, key: str, top) -> DataFrame:
@@ -335,16 +372,24 @@ def _met(left: DataFrame, right: DataFrame, key: str, top) -> DataFrame:
     return left.where(often).join(F.broadcast(right.where(often)), key).unionByName(left.where(~often).join(right.where(~often), key))
 
 
+def _each(name: str) -> list[str]:
+    """A column for each sample."""
+    return [f"{name}{i + 1}" for i in range(SAMPLES)]
+
+
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+
+
 def _settle(contexts: DataFrame, words: DataFrame, many: DataFrame, scratch: Scratch, top=None):
-    """The sweeps: (contexts (u, customers, back), words (w, c, seats), many (..., seats), d, tokens, types).
+    """The sweeps: (contexts (u, customers, back1, ...), words (w, c, p1, ...), many (..., t1, ...), d, tokens, types) and the tables to drop.
 
-    From contexts (u, customers, single, tables), words (w, c, single, n0) and the cells ``many`` (u, w, c, ...) with more
-    than one customer; a cell with one has one table in every sweep.  ``back`` and the words' ``seats`` hold, for each
-    sample, the parent's share and prediction, the cells' ``seats`` their tables.  The first three are the caller's to drop.
+    From contexts (u, customers, single, tables), words (w, c, single, n0, ...) and the cells ``many`` (u, w, c, ...) with
+    more than one customer; a cell with one has one table in every sweep.  For each sample, ``back`` and ``p`` hold the
+    parent's share and prediction, ``t`` the cells' tables.
     """
-    none = F.array().cast("array<double>")
-    contexts = scratch.keep(contexts.withColumn("back", none))
-    words = scratch.keep(words.withColumn("t0", F.least("n0", F.lit(1).cast("long"))).withColumn("seats", none))
+    contexts = scratch.keep(contexts)
+    words = written = scratch.keep(words.withColumn("t0", F.least("n0", F.lit(1).cast("long"))))
     got = words.agg(F.sum("t0"), F.sum("n0"), F.count_if(F.col("n0") == 1), F.count_if(F.col("n0") == 2), F.sum("c"), F.sum("single")).first()
     types, all_n, m1, m2, tokens, n1 = (x or 0 for x in got)
     n2 = many.where("c = 2").count()
@@ -353,34 +398,27 @@ def _settle(contexts: DataFrame, words: DataFrame, many: DataFrame, scratch: Scr
     share = (F.lit(STRENGTH) + d * F.col("tables")) / (F.lit(STRENGTH) + F.col("customers"))
     parent = lambda: (F.greatest(F.col("n0") - d0 * F.col("t0"), F.lit(0.0)) + (STRENGTH + d0 * all_t) / (types + 1)) / (STRENGTH + all_n)
     moves = F.col("tables") > F.col("single")  # the others have cells of one customer alone
-    still = contexts.where(~moves).select("u", "customers", F.array_repeat(share, SAMPLES).alias("back"))
+    still = contexts.where(~moves).select("u", "customers", *(share.alias(x) for x in _each("back")))
     start, contexts = contexts, contexts.where(moves)
-    many, first = many.withColumn("seats", none), None
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in many.schema) + ", t long"
+    first = None
     for s in range(1, BURN + SAMPLES + 1):
         met = _met(_met(many, contexts.select("u", "tables"), "u", top), words.select("w", parent().alias("base")), "w", top)
         met = met.select(*many.columns, ((STRENGTH + d * F.col("tables")) * F.col("base")).alias("a"))
-        seated = met.mapInArrow(_seat_cells(d, s, top), fields)
-        if s > BURN:
-            seated = seated.withColumn("seats", F.concat("seats", F.array(F.col("t").cast("double"))))
-        seated, old = scratch.keep(seated), (words, *([first, contexts] if first is not None else []))
-        first, many = seated, seated.drop("t")
+        seated, old = scratch.keep(scratch.few(met).mapInArrow(_seat_cells(d, s, top), _fields(many) + ", t long")), (written, *([first, contexts] if first is not None else []))
         tables = seated.groupBy("u").agg(F.sum("t").alias("t"))
-        contexts = contexts.join(tables, "u").select("u", "customers", "single", (F.col("single") + F.col("t")).alias("tables"), "back")
-        moved = words.where("n0 > single").join(seated.groupBy("w").agg(F.sum("t").alias("t")), "w")
-        words = moved.select("w", "c", "single", (F.col("single") + F.col("t")).alias("n0"), "t0", "seats").unionByName(words.where("n0 <= single"))
-        words = words.mapInArrow(_seat_words((STRENGTH + d0 * all_t) / (types + 1), d0, s, top), "w long, c long, single long, n0 long, t0 long, seats array<double>")
-        words = scratch.keep(words)
+        contexts = contexts.join(tables, "u").withColumn("tables", F.col("single") + F.col("t")).drop("t")
+        moved = words.where("n0 > single").join(seated.groupBy("w").agg(F.sum("t").alias("t")), "w").withColumn("n0", F.col("single") + F.col("t"))
+        moved = scratch.few(moved.select(*words.columns).unionByName(words.where("n0 <= single")))
+        words = written = scratch.keep(moved.mapInArrow(_seat_words((STRENGTH + d0 * all_t) / (types + 1), d0, s, top), _fields(words)))
         all_n, all_t = (x or 0 for x in words.agg(F.sum("n0"), F.sum("t0")).first())
-        contexts = scratch.keep(contexts.withColumn("back", F.concat("back", F.array(share))) if s > BURN else contexts)
-        scratch.drop(*old)
+        first, many = seated, seated.drop("t")
+        contexts = scratch.keep(contexts.withColumn(f"back{s - BURN}", share) if s > BURN else contexts)
         if s > BURN:
-            seats = words.withColumn("seats", F.concat("seats", F.array(parent())))
-            old, words = words, scratch.keep(seats)
-            scratch.drop(old)
-    every = scratch.keep(contexts.select("u", "customers", "back").unionByName(still))
-    scratch.drop(start, contexts)
-    return every, words, first, d, tokens, types
+            many = seated.withColumnRenamed("t", f"t{s - BURN}")
+            words = words.withColumn(f"p{s - BURN}", parent())
+        scratch.drop(*old)
+    every = contexts.select("u", "customers", *_each("back")).unionByName(still)
+    return every, words, many, d, tokens, types, (start, contexts, written, first)
 
 
 def predictions(cells: DataFrame):
@@ -389,15 +427,15 @@ def predictions(cells: DataFrame):
     one, some = F.count_if(F.col("c") == 1).alias("single"), F.count_if(F.col("c") > 0)
     contexts = cells.groupBy("u").agg(F.sum("c").alias("customers"), one, some.alias("tables"))
     words = cells.groupBy("w").agg(F.sum("c").alias("c"), one, some.alias("n0"))
-    contexts, words, many, d, tokens, types = _settle(contexts, words, cells.where("c > 1").select("u", "w", "c"), scratch)
+    contexts, words, many, d, tokens, types, _ = _settle(contexts, words, cells.where("c > 1").select("u", "w", "c"), scratch)
     c = F.col("c").cast("double")
-    few = cells.where("c < 2").select("u", "w", "c", F.array(*[c] * SAMPLES).alias("seats"))
-    own = few.unionByName(many.select("u", "w", "c", "seats"))
-    own = own.select("u", "w", F.array(*(F.greatest(c - d * F.col("seats")[i], F.lit(0.0)) for i in range(SAMPLES))).alias("own"))
-    own = own.join(contexts.select("u", "customers", "back"), "u")
+    few = cells.where("c < 2").select("u", "w", "c", *(F.col("c").alias(t) for t in _each("t")))
+    own = few.unionByName(many)
+    own = own.select("u", "w", *(F.greatest(c - d * F.col(t), F.lit(0.0)).alias(t) for t in _each("t")))
+    own = own.join(contexts, "u")
     base = F.log10((F.col("c") + ADD) / F.lit(float(tokens + ADD * (types + 1))))
-    own = own.join(words.select("w", (F.col("c") > 0).cast("long").alias("known"), base.alias("base"), F.col("seats").alias("p0")), "w")
-    p = sum(F.col("own")[i] / (F.lit(STRENGTH) + F.col("customers")) + F.col("back")[i] * F.col("p0")[i] for i in range(SAMPLES)) / SAMPLES
+    own = own.join(words.select("w", (F.col("c") > 0).cast("long").alias("known"), base.alias("base"), *_each("p")), "w")
+    p = sum(F.col(t) / (F.lit(STRENGTH) + F.col("customers")) + F.col(b) * F.col(p0) for t, b, p0 in zip(*map(_each, ("t", "back", "p")))) / SAMPLES
     return own.select("u", "w", "known", "base", F.log10(p).alias("lp")), tokens
 
 
@@ -479,7 +517,7 @@ def frequent(rows: DataFrame, texts: int) -> np.ndarray:
 def _large(tokenizer, texts):
     """(first row, counts by row, hashes) of runs of rows of about ``_LARGE`` bytes, whose words are found in smaller pieces."""
     first, size, held = 0, 0, []
-    for row, data, offs in pieces(texts, _PIECE // 2):
+    for row, data, offs in pieces(texts, _PIECE // 8):
         if size >= _LARGE:
             yield first, *map(np.concatenate, zip(*held))
             first, size, held = row, 0, []
@@ -502,17 +540,21 @@ def _pack_pairs(top, buckets):
         for batch in batches:
             train = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for row, counts, h in _large(tokenizer, batch.column(2)):
-                doc = np.repeat(np.arange(len(counts)), counts + 1)
-                names, w = np.unique(np.insert(h, np.cumsum(counts), np.uint64(0)), return_inverse=True)
+                doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts + 1)
+                h = np.insert(h, np.cumsum(counts), np.uint64(0))
+                names, w = np.unique(h, return_inverse=True)
+                del h
                 at, hit = _find(keys, names)
                 ids = np.where(hit, order[at].astype(np.uint64), names)
                 by = np.argsort(ids)
-                ids, place = ids[by], np.empty(len(by), np.int64)
+                ids, place = ids[by], np.empty(len(by), np.int32)
                 place[by] = np.arange(len(by))
                 w = place[w]
-                start = np.concatenate(([True], doc[1:] != doc[:-1]))
-                u = np.where(start, np.searchsorted(ids, 0), np.concatenate(([0], w[:-1])))  # the end is number 0
-                pair, which = np.unique(u * len(ids) + w, return_inverse=True)
+                u = np.concatenate((w[:1], w[:-1]))
+                u[np.concatenate(([True], doc[1:] != doc[:-1]))] = np.searchsorted(ids, 0)  # the end is number 0
+                pair, which = np.unique(u.astype(np.int64) * len(ids) + w, return_inverse=True)
+                del u, w
+                which = which.astype(np.int32)
                 pu, pw = ids[pair // len(ids)], ids[pair % len(ids)]
                 deal = np.where(pw >= len(top), pw, np.where(pu >= len(top), pu, mix(pu * np.uint64(0x9E3779B97F4A7C15) + pw)))
                 bucket = (mix(deal) % np.uint64(buckets)).astype(np.int64)
@@ -521,7 +563,8 @@ def _pack_pairs(top, buckets):
                 place[by] = np.arange(len(by))
                 c = np.bincount(which, train[row + doc], len(pair)).astype(np.int64)
                 # documents
-                cell, n = np.unique(doc * len(pair) + place[which], return_counts=True)
+                cell, n = np.unique(doc * np.int64(len(pair)) + place[which], return_counts=True)
+                del doc, which
                 sizes = np.bincount(cell // len(pair), minlength=len(counts))
                 names = batch.column(1).slice(row, len(counts))
                 null = names.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
@@ -537,7 +580,7 @@ def _pack_pairs(top, buckets):
                     n = len(where[lo : lo + 1024])
                     yield pa.RecordBatch.from_arrays([pa.array(where[lo : lo + n], pa.int64()), pa.array([number] * n, pa.int64()), pa.array(what[lo : lo + n], pa.binary())], names=["bucket", "batch", "data"])
 
-    return run
+    return _lean(run)
 
 
 _TALLY = pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("batch", pa.int64()), ("u", pa.int64()), ("w", pa.int64()), ("place", pa.int64()), ("c", pa.int64()), ("single", pa.int64()), ("some", pa.int64()), ("data", pa.binary())])
@@ -550,7 +593,11 @@ def _rows(kind, n, **columns):
 
 
 def _tally(top):
-    """Of a bucket: its cells and which of them each piece holds (packed), the cells of several customers, and the totals by u and by w."""
+    """Of a bucket: its cells and which of them each piece holds (packed), the cells of several customers, and the totals by u and by w.
+
+    Totals of words that are not frequent are rows; those of frequent ones, which are in
+    every bucket, are packed by spans of their numbers: place p those by u, -1 - p those by w.
+    """
 
     def run(t):
         bucket, batch, data = t.column("bucket")[0].as_py(), t.column("batch").to_pylist(), t.column("data")
@@ -568,13 +615,36 @@ def _tally(top):
         out = [_rows("cells", 1, bucket=[bucket], data=[_pack(*_codes(ids[pu], top), *_codes(ids[pw], top), c, np.array(batch), sizes, lists)])]
         at = np.flatnonzero(c > 1)
         out.append(_rows("many", len(at), bucket=np.full(len(at), bucket), u=ids[pu[at]], w=ids[pw[at]], place=at, c=c[at]))
+        places, spans = [], []
         for name, p in (("u", pu), ("w", pw)):
             have = np.flatnonzero(np.bincount(p, minlength=len(ids)))
-            total = lambda x: np.bincount(p, x, len(ids))[have].astype(np.int64)  # noqa: B023, E731
-            out.append(_rows(name, len(have), bucket=np.full(len(have), bucket), c=total(c), single=total(c == 1), some=total(c > 0), **{name: ids[have]}))
+            totals = [np.bincount(p, x, len(ids))[have].astype(np.int64) for x in (c, c == 1, c > 0)]
+            often = int(np.searchsorted(ids[have], np.uint64(len(top))))  # ids ascend
+            numbers = ids[have[:often]].astype(np.int64)
+            edges = np.searchsorted(numbers, np.arange(0, len(top) + _SPAN, _SPAN)).tolist()
+            for n, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
+                if lo < hi:
+                    places.append(n if name == "u" else -1 - n)
+                    spans.append(_pack((numbers[lo:hi] % _SPAN).astype(np.uint16), *(x[lo:hi] for x in totals)))
+            rare = {k: x[often:] for k, x in zip(("c", "single", "some"), totals)}
+            out.append(_rows(name, len(have) - often, bucket=np.full(len(have) - often, bucket), **rare, **{name: ids[have[often:]]}))
+        out.append(_rows("often", len(places), bucket=[bucket] * len(places), place=places, data=spans))
         return pa.concat_tables(out)
 
-    return run
+    return _lean(run)
+
+
+def _add_often(t):
+    """(side, k, c, single, some): the totals of a span of frequent words over all buckets, side 0 by u and 1 by w."""
+    place = t.column("place")[0].as_py()
+    out = np.zeros((4, _SPAN), np.int64)
+    for x in t.column("data"):
+        at, *totals = _unpack(x.as_buffer())
+        out[:3, at] += totals
+        out[3, at] = 1
+    at = np.flatnonzero(out[3])
+    k = at + _SPAN * (place if place >= 0 else -1 - place)
+    return pa.table([pa.array(np.full(len(at), int(place < 0))), pa.array(k), *(pa.array(x[at]) for x in out[:3])], names=["side", "k", "c", "single", "some"])
 
 
 def _answer(top, often_u, often_w, d):
@@ -616,7 +686,7 @@ def _answer(top, often_u, often_w, d):
                 data.append(_pack(lp[own], count[own]))
         return pa.table([pa.array(batch, pa.int64()), pa.array(bucket, pa.int64()), pa.array(data, pa.binary())], names=["batch", "bucket", "data"])
 
-    return run
+    return _lean(run)
 
 
 def _add_up(tokens, types):
@@ -635,7 +705,7 @@ def _add_up(tokens, types):
             out.append(pa.table([pa.array(names, pa.int64(), mask=null.astype(bool)), *map(pa.array, known), pa.array(total(base)), pa.array(total(lp / 2.0**25))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"]))
         return pa.concat_tables(out)
 
-    return run
+    return _lean(run)
 
 
 # ---- scoring --------------------------------------------------------------
@@ -643,38 +713,45 @@ def _add_up(tokens, types):
 
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = FOLDS) -> DataFrame:
     """For each row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    with shuffles_removed(docs.sparkSession):
+    spark = docs.sparkSession
+    # an Arrow batch is one piece of text; the kinds of rows of a bucket are written side by side and not sorted first
+    held = {"spark.sql.execution.arrow.maxBytesPerBatch": str(_LARGE), "spark.sql.maxConcurrentOutputFileWriters": "8"}
+    with shuffles_removed(spark), settings(spark, held):
         return _score_texts(docs, key, text, folds)
 
 
 def _score_texts(docs, key, text, folds):
-    scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     held = fold(F.col("doc_id"), folds) == 0
     texts, size = (x or 0 for x in rows.agg(F.count("*"), F.sum(F.octet_length("text").cast("long"))).first())
     top = frequent(rows, texts)
-    packed = rows.select((~held).alias("train"), "doc_id", "text").mapInArrow(_pack_pairs(top, -(-(size + texts) // _BUCKET) or 1), "bucket long, batch long, data binary")
+    buckets = -(-(size + texts) // _BUCKET) or 1
+    scratch = Scratch(docs.sparkSession, -(-buckets // _FILE))
+    packed = rows.select((~held).alias("train"), "doc_id", "text").mapInArrow(_pack_pairs(top, buckets), "bucket long, batch long, data binary")
     tallied = packed.groupBy("bucket").applyInArrow(_tally(top), _TALLIED)
-    documents, cells, many, by_u, by_w = scratch.keep_apart(tallied, "kind", "document", "cells", "many", "u", "w")
-    contexts = by_u.groupBy("u").agg(F.sum("c").alias("customers"), F.sum("single").alias("single"), F.sum("some").alias("tables"))
-    words = by_w.groupBy("w").agg(F.sum("c").alias("c"), F.sum("single").alias("single"), F.sum("some").alias("n0"))
-    contexts, words, seated, d, tokens, types = _settle(contexts, words, many.select("bucket", "place", "u", "w", "c"), scratch, top)
-    scratch.drop(many)
+    documents, cells, many, by_u, by_w, often = scratch.keep_apart(tallied, "kind", "document", "cells", "many", "u", "w", "often")
+    added = scratch.keep(often.select("place", "data").groupBy("place").applyInArrow(_add_often, "side long, k long, c long, single long, some long"))
+    by = lambda side, k, c, some, *more: added.where(F.col("side") == side).select(F.col("k").alias(k), *more, F.col("c").alias(c), "single", F.col("some").alias(some))
+    contexts = by_u.groupBy("u").agg(F.sum("c").alias("customers"), F.sum("single").alias("single"), F.sum("some").alias("tables")).unionByName(by(0, "u", "customers", "tables"))
+    words = by_w.select("w", "bucket", "c", "single", F.col("some").alias("n0"))  # a word that is not frequent has one bucket
+    words = words.unionByName(by(1, "w", "c", "n0", F.lit(-1).cast("long").alias("bucket")))
+    contexts, words, seated, d, tokens, types, kept = _settle(contexts, words, many.select("bucket", "place", "u", "w", "c"), scratch, top)
+    scratch.drop(many, by_w, often, added)
 
-    values = lambda c: [F.col(c)[i].alias(f"x{i + 1}") for i in range(SAMPLES)]
     told, often = [], []
-    for number, own, table_, k, first, rest in ((0, by_u, contexts, "u", "customers", "back"), (1, by_w, words, "w", "c", "seats")):
+    for number, table_, k, first, rest in ((0, contexts, "u", "customers", _each("back")), (1, words, "w", "c", _each("p"))):
         numbered = (F.col(k) >= 0) & (F.col(k) < len(top))
         at = np.zeros((SAMPLES + 1, len(top)))
-        for r in table_.where(numbered).select(k, F.col(first).cast("double"), *values(rest)).collect():  # FREQUENT rows at most
+        for r in table_.where(numbered).select(k, F.col(first).cast("double"), *rest).collect():  # FREQUENT rows at most
             at[:, r[0]] = r[1:]
         often.append(at)
-        met = own.where(~numbered).select("bucket", k).join(table_.where(~numbered).select(k, first, rest), k)
-        told.append(scratch.keep(met.select("bucket", F.lit(number).alias("kind"), F.col(k).alias("key"), F.col(first).cast("double").alias("x0"), *values(rest))))
-        scratch.drop(own, table_)
-    apart = F.exists("seats", lambda t: t != 1)  # cells at one table need no message
-    told.append(scratch.keep(seated.where(apart).select("bucket", F.lit(2).alias("kind"), F.col("place").alias("key"), F.col("c").cast("double").alias("x0"), *values("seats"))))
-    scratch.drop(seated)
+        met = table_.where(~numbered)
+        met = met if k == "w" else by_u.select("bucket", k).join(met, k)
+        told.append(scratch.keep(met.select("bucket", F.lit(number).alias("kind"), F.col(k).alias("key"), F.col(first).cast("double").alias("x0"), *(F.col(x).cast("double").alias(f"x{i + 1}") for i, x in enumerate(rest)))))
+    scratch.drop(by_u)
+    apart = reduce(lambda a, b: a | b, (F.col(t) != 1 for t in _each("t")))  # cells at one table need no message
+    told.append(scratch.keep(seated.where(apart).select("bucket", F.lit(2).alias("kind"), F.col("place").alias("key"), F.col("c").cast("double").alias("x0"), *(F.col(t).cast("double").alias(f"x{i + 1}") for i, t in enumerate(_each("t"))))))
+    scratch.drop(*kept)
     told_, answers = told[0].unionByName(told[1]).unionByName(told[2]), []
     for i in range(SLICES):
         own = F.pmod("bucket", F.lit(SLICES)) == i

@@ -34,3 +34,19 @@ def test_few_links_take_few_jobs(spark, monkeypatch):
     assert jobs <= 10, jobs
     monkeypatch.setattr(_common, "LOCAL_LINKS", 0)
     assert sorted(map(tuple, _common.components(df).collect())) == got
+
+
+def test_written_tables_have_few_files(spark):
+    """At most a file for each part or core and no checksum files, and the rows come back."""
+    import os
+
+    scratch = _common.Scratch(spark, 1)
+    df = spark.range(0, 1000, 1, 40).selectExpr("id", "id % 2 = 0 AS even")
+    for kept in (scratch.keep(df), *scratch.keep_apart(df.selectExpr("id", "string(even) AS kind"), "kind", "true", "false")):
+        names = os.listdir(scratch.paths[id(kept)][1])
+        assert sum(n.startswith("part-") for n in names) <= spark.sparkContext.defaultParallelism + 1  # one is of the empty table
+        assert kept.count() in (500, 1000)
+        scratch.drop(kept)
+    kept = scratch.keep(df)
+    assert not [n for n in os.listdir(scratch.paths[id(kept)][1]) if n.endswith(".crc")]
+    scratch.drop(kept)

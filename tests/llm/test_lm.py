@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -143,3 +144,60 @@ def test_packed_scores_equal_the_rows_of_the_model(spark, monkeypatch):
     monkeypatch.setattr(lm, "FREQUENT", 65_535)
     packed = df.coalesce(1).selectExpr("true", "doc_id", "text").mapInArrow(lm._pack_pairs(lm.frequent(df, len(rows)), 1), "bucket long, batch long, data binary")
     assert packed.where("bucket >= 0").selectExpr("sum(length(data))").first()[0] < 8 * len(count)  # rows of pairs took 19 bytes
+
+
+def _packed(monkeypatch, texts, top, buckets):
+    monkeypatch.setattr(lm, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 0})())}))
+    batch = pa.RecordBatch.from_arrays([pa.array([True] * len(texts)), pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["train", "doc_id", "text"])
+    return [r for out in lm._pack_pairs(top, buckets)(iter([batch])) for r in out.to_pylist()]
+
+
+def test_memory_of_a_worker(monkeypatch):
+    """Bytes that packing a piece takes at most for each word, and that freed memory goes back."""
+    r = np.random.default_rng(7)
+    texts = [" ".join(f"w{int(x)}" for x in r.zipf(1.3, 1000) % 50_000) for _ in range(800)]
+    top = lm.word_hashes(["", *(f"w{i}" for i in range(1000))])
+    tracemalloc.start()
+    _packed(monkeypatch, texts, top, 40)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 * 1000 * len(texts)
+
+    pages = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+    held = [np.ones(12_000) for _ in range(2000)]  # 192 MB in blocks that the allocator keeps
+    last = np.ones(12_000)
+    full = pages()
+    held.clear()
+    assert list(lm._lean(lambda t: t)("x")) == ["x"]
+    assert full - pages() > 120 << 20 and last.all()
+
+
+def test_totals_of_frequent_words_are_no_rows(monkeypatch):
+    """Totals by u and by w over several buckets, those of frequent words packed, against counting."""
+    monkeypatch.setattr(lm, "_SPAN", 64)
+    r = np.random.default_rng(9)
+    texts = [" ".join(f"w{int(x)}" for x in r.zipf(1.3, r.integers(0, 60)) % 3000) for _ in range(300)]
+    count = Counter(p for t in texts for p in zip([""] + words(t), words(t) + [""]))
+    names = sorted({w for p in count for w in p})
+    h = lm.word_hashes(names)
+    top = np.concatenate((h[:1], h[1::2]))  # the end is the first name
+    assert names[0] == "" and lm._SPAN < len(top) < len(names) - 100
+    packed, spans, got = _packed(monkeypatch, texts, top, 5), {}, {"u": Counter(), "w": Counter()}
+    for b in range(5):
+        rows = [x for x in packed if x["bucket"] == b]
+        t = lm._tally(top)(pa.table({k: [x[k] for x in rows] for k in ("bucket", "batch", "data")}))
+        for x in t.to_pylist():
+            if x["kind"] in ("u", "w"):
+                assert not 0 <= x[x["kind"]] < len(top)
+                got[x["kind"]].update({(x[x["kind"]], k): x[k] for k in ("c", "single", "some")})
+            elif x["kind"] == "often":
+                spans.setdefault(x["place"], []).append(x)
+    for rows in spans.values():
+        for x in lm._add_often(pa.table({k: [x[k] for x in rows] for k in ("place", "data")})).to_pylist():
+            got["uw"[x["side"]]].update({(int(top[x["k"]].view(np.int64)), k): x[k] for k in ("c", "single", "some")})
+    key = dict(zip(names, h.view(np.int64).tolist()))
+    for side in (0, 1):
+        want = Counter()
+        for p, c in count.items():
+            want.update({(key[p[side]], "c"): c, (key[p[side]], "single"): int(c == 1), (key[p[side]], "some"): 1})
+        assert got["uw"[side]] == want
