@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import paths, text
+from ..runtime import checkpoint
+
+#: Pairs of a file and a note that one task makes of a scope; a scope with more is cut into pieces.
+PAIRS = 20_000_000
+#: Notes that travel as one array.
+PACK = 1_000
 
 DECISIONS = "repo_id string, id string, title string, status string, date string, context string, rationale string, source string, ordinal int"
 
@@ -56,6 +62,34 @@ def brief(body: F.Column, name: F.Column) -> list:
     return [F.coalesce(F.get(heads, F.lit(0)), name).alias("title"), text.first_paragraph(body).alias("summary"), F.slice(heads, 2, dims.HEADING_LIMIT).alias("headings")]
 
 
+def scoped(files: DataFrame, notes: DataFrame) -> DataFrame:
+    """(path, note): every note (note, scope) of a file, its own or a directory's above it, each pair once; null scopes mean nothing.
+
+    A scope below another of the same note tells nothing new, so it goes; of the rest a path
+    is under one at most, and no pair has to be compared with another.  The pairs of a
+    directory are files times notes by nature: a scope of more than ``PAIRS`` has its files
+    dealt out into pieces, which meet the notes packed in arrays.
+    """
+    ours = notes.where("scope is not null").groupBy("note").agg(F.collect_set("scope").alias("all"))
+    top = F.filter("all", lambda s: ~F.exists("all", lambda o: F.startswith(s, F.concat(o, F.lit("/")))))
+    ours = checkpoint(ours.select("note", F.explode(top).alias("scope")))
+    up = files.select("path").distinct().select("path", F.explode(paths.ancestors(F.col("path"))).alias("scope"))
+    size = ours.groupBy("scope").agg(F.count("*").alias("n")).join(up.groupBy("scope").agg(F.count("*").alias("f")), "scope")
+    wide = checkpoint(size.where(F.col("n") * F.col("f") > PAIRS).select("scope", F.ceil(F.col("n") * F.col("f") / PAIRS).cast("int").alias("pieces"), F.ceil(F.col("n") / PACK).cast("int").alias("packs")))
+    light = up.join(ours, "scope").select("path", "note")
+    pieces = wide.agg(F.sum("pieces")).first()[0]
+    if not pieces:
+        return light
+    known = F.broadcast(wide)  # a row for each PAIRS pairs of the result at most
+    light = up.join(known, "scope", "left_anti").join(ours.join(known, "scope", "left_anti"), "scope").select("path", "note")
+    packed = ours.join(known, "scope").groupBy("scope", "pieces", F.pmod(F.xxhash64("note"), "packs").alias("k")).agg(F.collect_list("note").alias("notes"))
+    packed = packed.select("scope", "notes", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    dealt = up.join(known, "scope").select("path", "scope", F.pmod(F.xxhash64("path"), "pieces").cast("int").alias("piece"))
+    many = min(pieces, 20_000)
+    met = dealt.repartition(many, "scope", "piece").join(packed.repartition(many, "scope", "piece"), ["scope", "piece"])
+    return light.unionByName(met.select("path", F.explode("notes").alias("note")))
+
+
 def patterns(conventions: dict, style: str | None) -> list[dict]:
     """Named patterns of one repository from its conventions, in a fixed order of kinds."""
     one = lambda name, kind, description, evidence: {"name": name, "kind": kind, "description": description, "evidence": evidence}
