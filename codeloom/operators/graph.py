@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import paths
-from ..runtime import checkpoint
+from ..runtime import checkpoint, few
 
 NODE = ("repo_id", "id", "kind", "name", "path", "line", "language")
 
@@ -108,15 +108,24 @@ def inheritance(elements: DataFrame) -> DataFrame:
     return rows.select("repo_id", F.col("id").alias("source"), target.alias("target"), "kind").where("target is not null")
 
 
-def calls(elements: DataFrame) -> DataFrame:
-    """calls edges: to the top-level function that alone has the called name; names are met before rows are made distinct."""
+def said_calls(elements: DataFrame) -> DataFrame:
+    """(repo_id, source, callee): the names that functions and methods call."""
+    return elements.where("kind = 'function'").select("repo_id", F.col("id").alias("source"), F.explode(F.array_distinct("calls")).alias("callee"))
+
+
+def calls(elements: DataFrame, said: DataFrame | None = None) -> DataFrame:
+    """calls edges: to the top-level function that alone has the called name; names are met before rows are made distinct.
+
+    ``said``: (repo_id, source, callee), the elements' own by default.  It is as large as
+    the texts, so it is not moved where the names that one function alone has are few.
+    """
     once = elements.where("kind = 'function' and is_top").groupBy("repo_id", F.col("name").alias("callee")).agg(F.count("*").alias("n"), F.min("id").alias("target")).where("n = 1")
-    said = elements.where("kind = 'function'").select("repo_id", F.col("id").alias("source"), F.explode(F.array_distinct("calls")).alias("callee"))
-    met = said.join(once.select("repo_id", "callee", "target"), ["repo_id", "callee"]).where("source <> target")
+    said = said_calls(elements) if said is None else said
+    met = said.join(few(once.select("repo_id", "callee", "target")), ["repo_id", "callee"]).where("source <> target")
     return met.select("repo_id", "source", "target", F.lit("calls").alias("kind")).distinct()
 
 
-def edges(files: DataFrame, elements: DataFrame, imports: DataFrame, nodes: DataFrame) -> DataFrame:
+def edges(files: DataFrame, elements: DataFrame, imports: DataFrame, nodes: DataFrame, said: DataFrame | None = None) -> DataFrame:
     """All edges whose two ends are nodes, each once.
 
     The ends of calls and inheritance are elements, so they are nodes and distinct by
@@ -129,7 +138,7 @@ def edges(files: DataFrame, elements: DataFrame, imports: DataFrame, nodes: Data
     ids = nodes.select("repo_id", "id")
     told = held.unionByName(code).unionByName(imp).distinct()
     told = told.join(ids.withColumnRenamed("id", "source"), ["repo_id", "source"], "left_semi").join(ids.withColumnRenamed("id", "target"), ["repo_id", "target"], "left_semi")
-    return told.select("repo_id", "source", "target", "kind").unionByName(inheritance(elements)).unionByName(calls(elements))
+    return told.select("repo_id", "source", "target", "kind").unionByName(inheritance(elements)).unionByName(calls(elements, said))
 
 
 # ---- lookups ---------------------------------------------------------------------

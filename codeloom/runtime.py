@@ -6,6 +6,10 @@ import re
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows that a counted side of a join may have to be sent to every executor.
+FEW = 200_000
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -17,3 +21,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
+
+
+def few(df: DataFrame) -> DataFrame:
+    """Checkpointed and counted: at most ``FEW`` rows are broadcast in joins, more are left to Spark."""
+    df = checkpoint(df)
+    return F.broadcast(df) if df.count() <= FEW else df

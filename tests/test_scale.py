@@ -38,3 +38,23 @@ def test_a_note_of_nested_scopes_is_told_once(spark):
     notes = spark.createDataFrame([(1, "a"), (1, "a/b"), (1, "a/b"), (2, "a/b"), (2, "a/d.py"), (3, None), (4, "f.py")], "note int, scope string")
     got = sorted(map(tuple, knowledge.scoped(files, notes).collect()))
     assert got == [("a/b/c.py", 1), ("a/b/c.py", 2), ("a/bb/e.py", 1), ("a/d.py", 1), ("a/d.py", 2), ("f.py", 4)]
+
+
+@pytest.mark.parametrize("name", ("graph_nodes", "graph_edges", "graph_kinds", "symbol_naming", "neighbors", "find_symbol", "module_summary", "feature_view", "explain_modules"))
+def test_no_calls_are_written_for_the_graph(spark, monkeypatch, name):
+    """What is checkpointed is names; the texts' tokens meet the names where they are read."""
+    from codeloom import runtime
+    from codeloom.operators import graph, modules
+
+    kept, plain = [], runtime.checkpoint
+
+    def seen(df):
+        kept.append(df.columns)
+        return plain(df)
+
+    for m in (virtual, graph, modules, runtime):
+        monkeypatch.setattr(m, "checkpoint", seen)
+    df = virtual.QUERIES[name](spark, SF)
+    assert kept and not any({"calls", "text"} & set(c) for c in kept)
+    if name in ("graph_nodes", "symbol_naming"):
+        assert not any("source" in c for c in kept) and len(kept) == 1
