@@ -85,19 +85,17 @@ def headings(text: Column) -> Column:
 
 
 def first_paragraph(text: Column) -> Column:
-    """The first lines of prose up to a blank one, cut at SUMMARY_CHARS; null without any."""
-    state = F.struct(F.lit(False).alias("done"), F.array().cast("array<string>").alias("lines"))
-    noise = r"^(#|!|<|\[!|---|===|```)"
-
-    def step(acc, raw):
-        line = strip(raw)
-        stop = acc["done"] | ((line == "") & (F.size(acc["lines"]) > 0))
-        skip = stop | (line == "") | line.rlike(noise)
-        return F.struct(stop.alias("done"), F.when(skip, acc["lines"]).otherwise(F.concat(acc["lines"], F.array(line))).alias("lines"))
-
-    joined = F.aggregate(F.split(text, LINE_BREAKS), state, step, lambda acc: F.array_join(acc["lines"], " "))
-    cut = F.concat(F.regexp_replace(F.substring(joined, 1, dims.SUMMARY_CHARS), r"\s+$", ""), F.when(F.length(joined) > dims.SUMMARY_CHARS, "…").otherwise(""))
-    return F.when(joined != "", cut)
+    """The first lines of prose up to a blank one, cut at SUMMARY_CHARS; null without any.
+
+    The paragraph is cut out first, so only its own lines are split and looked at.
+    """
+    noise, blank, breaks = r"(?:#|!|<|\[!|---|===|```)", r"[ \t\x1f]*+", LINE_BREAKS.removeprefix("\r\n|")
+    rest = F.regexp_extract(text, rf"(?s)(?<![^{breaks[1:-1]}]){blank}(?!{noise})([^ \t\x1f{breaks[1:-1]}].*)", 1)
+    body = F.get(F.split(rest, rf"(?>\r\n|{breaks}){blank}(?={breaks})", 2), F.lit(0))
+    lines = F.transform(F.split(body, LINE_BREAKS), lambda line: F.btrim(line, F.lit(" \t\x1f")))
+    joined = F.array_join(F.filter(lines, lambda line: (line != "") & ~line.rlike("^" + noise)), " ")
+    cut = lambda j: F.concat(F.regexp_replace(F.substring(j, 1, dims.SUMMARY_CHARS), r"\s+$", ""), F.when(F.length(j) > dims.SUMMARY_CHARS, "…").otherwise(""))
+    return F.get(F.transform(F.array(joined), lambda j: F.when(j != "", cut(j))), F.lit(0))  # named once, made once
 
 
 def section(text: Column, name: str) -> Column:

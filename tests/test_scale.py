@@ -58,3 +58,32 @@ def test_no_calls_are_written_for_the_graph(spark, monkeypatch, name):
     assert kept and not any({"calls", "text"} & set(c) for c in kept)
     if name in ("graph_nodes", "symbol_naming"):
         assert not any("source" in c for c in kept) and len(kept) == 1
+
+
+def test_briefs_of_odd_texts(spark):
+    """Breaks of all kinds, noise before, inside and after; only the paragraph's lines are looked at, and once."""
+    from pyspark.sql import functions as F
+
+    from codeloom.functions import text
+
+    texts = [
+        "", "\n", "\r\n", "#", "# a\n\nb", "a\r\nb\r\n\r\nc", "a\rb\r\rc", " \t\n\x1f a \x1f\n # no\n b\n \t\nc", "<x>\n\n---\n===\n```\nz", "! a\nb ! c\n[!x]\nd", "[x]\n--\n==\n``\n\x0b\x0cq", "a b  c",
+        "a\x85\x85b", "x" * 700, ("w" * 9 + " ") * 60 + "end\n\nmore", "w" * 599 + " \nv", "w" * 600 + "\nv", "\n".join(["line"] * 5_000), "\n" * 5_000 + "late", "#\n" * 5_000 + "late\n", " " * 5_000 + "wide" + " " * 5_000 + "\r\n\n x", "a\n\r\nb", "a\r\n\nb", "a\n \x1f\t\rb",
+    ]
+
+    def want(body):
+        lines = []
+        for raw in body.splitlines():
+            line = raw.strip()
+            if not line and lines:
+                break
+            if line and not line.startswith(("#", "!", "<", "[!", "---", "===", "```")):
+                lines.append(line)
+        whole = " ".join(lines)
+        return whole[:600].rstrip() + ("…" if len(whole) > 600 else "") if lines else None
+
+    df = spark.createDataFrame(list(enumerate([*texts, None])), "i int, text string").select("i", text.first_paragraph(F.col("text")).alias("b"))
+    assert "aggregate(" not in _plan(df)
+    got = {r.i: r.b for r in df.collect()}
+    assert got.pop(len(texts)) is None
+    assert got == {i: want(t) for i, t in enumerate(texts)}
