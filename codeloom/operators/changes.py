@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
+from ..runtime import few
 
 
 def change_set(now: DataFrame, before: DataFrame) -> DataFrame:
@@ -27,10 +28,16 @@ def reuse(files: DataFrame, changes: DataFrame, cached: DataFrame) -> tuple[Data
     return kept, files.join(kept.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
 
 
+def latest(commits: DataFrame, most: int = dims.CHURN_COMMITS) -> DataFrame:
+    """(repo_id, sha, ordinal) of each repository's latest ``most`` commits, counted."""
+    n = F.row_number().over(Window.partitionBy("repo_id").orderBy("ordinal"))
+    return few(commits.select("repo_id", "sha", "ordinal").withColumn("n", n).where(F.col("n") <= most).drop("n"))
+
+
 def churn(commits: DataFrame, commit_files: DataFrame, most: int = dims.CHURN_COMMITS) -> DataFrame:
-    """(repo_id, path, commits): how many of a repository's latest ``most`` commits touched a file."""
-    latest = commits.withColumn("n", F.row_number().over(Window.partitionBy("repo_id").orderBy("ordinal"))).where(F.col("n") <= most)
-    return commit_files.distinct().join(latest.select("repo_id", "sha"), ["repo_id", "sha"], "left_semi").groupBy("repo_id", "path").agg(F.count("*").alias("commits"))
+    """(repo_id, path, commits): how many of a repository's latest ``most`` commits touched a file; other commits' files go before any row is moved."""
+    own = commit_files.join(latest(commits, most).select("repo_id", "sha"), ["repo_id", "sha"], "left_semi")
+    return own.distinct().groupBy("repo_id", "path").agg(F.count("*").alias("commits"))
 
 
 def history(commits: DataFrame, recent: int = 20) -> DataFrame:

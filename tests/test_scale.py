@@ -87,3 +87,10 @@ def test_briefs_of_odd_texts(spark):
     got = {r.i: r.b for r in df.collect()}
     assert got.pop(len(texts)) is None
     assert got == {i: want(t) for i, t in enumerate(texts)}
+
+
+def test_only_latest_commits_files_are_joined(spark):
+    """The latest commits are counted and few, so files of other commits go without a sort or a shuffle of all files."""
+    df = virtual.churn_last_1000(spark, SF)
+    assert "SortMergeJoin" not in _plan(df) and "Window" not in _plan(df).split("BroadcastExchange")[0]
+    _same(df, "churn_last_1000")
